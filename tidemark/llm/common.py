@@ -99,15 +99,14 @@ def concat_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of ``n`` nodes over the edges (a, b), by hooking and pointer jumping."""
-    root = np.arange(n)
+def hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root`` (each node's smallest known reachable index) after adding the edges (a, b)."""
     while len(a):
         ra, rb = root[a], root[b]
-        open_ = ra != rb
-        if not open_.any():
+        apart = ra != rb
+        if not apart.any():
             break
-        a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
         np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
         while (root != (jumped := root[root])).any():
             root = jumped

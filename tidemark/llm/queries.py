@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import langid, quality, toxicity
+from . import langid, mixing, quality, simhash, toxicity, vector_dups
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_embedding_dups": vector_dups.op2_embedding_dups,
     "op3_language_id": langid.op3_language_id,
+    "op4_mixing": mixing.op4_mixing,
     "op5_quality": quality.op5_quality,
+    "op9_simhash": simhash.op9_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_mixing": mixing.OP4_SQL,
+}
