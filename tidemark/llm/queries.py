@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality, simhash, toxicity, vector_dups
+from . import binary, langid, mixing, packing, quality, simhash, substrings, toxicity, vector_dups
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,7 +10,10 @@ QUERIES = {
     "op3_language_id": langid.op3_language_id,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality": quality.op5_quality,
+    "op6_token_ids": binary.op6_token_ids,
+    "op7_packing": packing.op7_packing,
     "op9_simhash": simhash.op9_simhash,
+    "op10_substrings": substrings.op10_substrings,
 }
 
 ORACLES: dict[str, str] = {
