@@ -3,14 +3,62 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tidemark.llm import common, langid, mixing, packing, simhash, substrings
+from tidemark.session import ship
 
+#: A document whose likeliest language has less of the likelihood than this is rejected.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was learnt; one without letters, or torn between languages, goes.
+
+    A null lang is filled in by the prediction.
+    """
+    ship(spark)
+    model = langid.fit(docs, F.lit(True))
+    scored = langid.predict(docs, model).where((F.col("lang_pred") != langid.UND) & (F.col("lang_score") >= LEAST_SCORE))
+    return scored.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose fingerprints link at 3 or fewer bits."""
+    ship(spark)
+    return simhash.dedup(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages of 400 bytes and more that repeat anywhere; n_chars counts what is left."""
+    ship(spark)
+    cut = substrings.dedup(docs.drop("kept"), as_text=True)
+    return cut.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks."""
+    ship(spark)
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training windows, piece by piece, with their token ids."""
+    ship(spark)
+    return packing.pack(docs)
+
+
+STAGES = [("language ID", language_id), ("SimHash near-dedup", near_dedup), ("suffix-array dedup", substring_dedup), ("mixing", mix), ("packing", pack)]
+
+#: Trained models, hashes and a tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over ``documents``; what the stages before give is written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = common.cut(docs)
     return docs

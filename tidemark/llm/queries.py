@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, langid, mixing, packing, quality, simhash, substrings, toxicity, vector_dups
+from . import ann, binary, langid, mixing, packing, quality, simhash, substrings, toxicity, vector_dups
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_token_ids": binary.op6_token_ids,
     "op7_packing": packing.op7_packing,
+    "op8_nearest": ann.op8_nearest,
     "op9_simhash": simhash.op9_simhash,
     "op10_substrings": substrings.op10_substrings,
 }

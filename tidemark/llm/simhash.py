@@ -199,6 +199,24 @@ def near_duplicates(documents: DataFrame, distance: int = 3, words: int = 3) ->
     return prints.join(groups(prints.select("doc_id", "simhash"), distance), "simhash", "left")
 
 
+def dedup(documents: DataFrame, distance: int = 3, words: int = 3) -> DataFrame:
+    """One row of each group of near-duplicates, with the columns of ``documents``: that of the smallest doc_id.
+
+    Among rows of one id (or of none), the one whose text hashes lowest; of equal rows, one. Only ids, fingerprints
+    and hashes take part in finding groups; the texts move once, to meet the ids that stay.
+    """
+    names = documents.columns
+    hashed = documents.withColumn("_h", F.xxhash64(F.col("text").cast("binary")))
+    prints = common.Written(fingerprints(hashed.select("doc_id", "text", "_h"), words).drop("text")).df
+    grouped = prints.join(groups(prints.select("doc_id", "simhash"), distance), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("first")
+    # an id is that of its component, or the component has none; simhash keeps components without ids apart
+    lone = F.when(F.col("component_id").isNull(), F.col("simhash"))
+    kept = common.cut(grouped.groupBy("component_id", lone.alias("lone")).agg(first).select(F.col("first.doc_id").alias("doc_id"), F.col("first._h").alias("_h")))
+    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l._h") == F.col("r._h"))
+    return hashed.alias("l").join(kept.alias("r"), same, "left_semi").dropDuplicates(["doc_id", "_h"]).select(*names)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_duplicates(documents)

@@ -235,19 +235,20 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], reach[np.r_[new[1:], True]]
 
 
-def dedup(documents: DataFrame, length: int = 400) -> DataFrame:
+def dedup(documents: DataFrame, length: int = 400, as_text: bool = False) -> DataFrame:
     """``documents`` (text excepted) with n_bytes, spans (the removed ranges of bytes, merged) and kept (other bytes).
 
     Bytes are those of the text in UTF-8; a null text is empty. Texts shorter than ``length`` keep all. Rows that
     repeat a text remove each other's, an exact copy in full. Every row returns; columns so named are replaced.
-    Spans are found with 128-bit keys of two 64-bit hashes of the bytes.
+    Spans are found with 128-bit keys of two 64-bit hashes of the bytes. With ``as_text``, kept is a string: where a
+    span ends within a character, what is left of the character goes too.
     """
     rest = [c for c in documents.columns if c not in ("text", "n_bytes", "spans", "kept")]
     keyed = _keyed(documents.select(*rest, "text"))
     found = common.Written(repeated(documents, length)).df
     texts = _squeezed(keyed.select(*rest, "_id", "_h", "_bytes"))
     joined = texts.join(found, ["_id", "_h"], "left").select(*rest, "z", "spans")
-    out = T.StructType([*documents.select(*rest).schema.fields, *T._parse_datatype_string("n_bytes long, spans array<struct<lo:int,hi:int>>, kept binary").fields])
+    out = T.StructType([*documents.select(*rest).schema.fields, *T._parse_datatype_string("n_bytes long, spans array<struct<lo:int,hi:int>>").fields, T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
@@ -264,7 +265,7 @@ def dedup(documents: DataFrame, length: int = 400) -> DataFrame:
                 lo, hi = merged(*(np.asarray(held.values.field(f)).astype(np.int64) for f in ("lo", "hi")))
                 spans.append([{"lo": a, "hi": b} for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
                 kept.append(b"".join(text[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(text)], strict=True)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], [*rest, "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], [*rest, "n_bytes", "spans", "kept"])
 
     return joined.mapInArrow(run, out)
 
