@@ -1,0 +1,103 @@
+"""Bit codes of a segment's columns: delta-of-delta integers and XOR floats. Bits run from the highest."""
+
+from __future__ import annotations
+
+import numpy as np
+
+#: Prefix, prefix bits, payload bits and bounds of each delta-of-delta class. Fixed values of the format.
+CLASSES = ((0b0, 1, 0, 0, 0), (0b10, 2, 7, -64, 63), (0b110, 3, 9, -256, 255), (0b1110, 4, 12, -2048, 2047))
+RAW_PREFIX, RAW_PREFIX_BITS = 0b1111, 4
+MASK = (1 << 64) - 1
+
+
+def joined(fields: list[tuple[int, int]]) -> bytes:
+    """Fields (value, bits) one after the other, padded with zeros to a byte."""
+    total, bits = 0, 0
+    out = bytearray()
+    for value, width in fields:
+        total, bits = (total << width) | value, bits + width
+        if bits >= 4096:  # keep the integer short
+            spare = bits % 8
+            out += (total >> spare).to_bytes((bits - spare) // 8, "big")
+            total, bits = total & ((1 << spare) - 1), spare
+    pad = -bits % 8
+    return bytes(out) + (total << pad).to_bytes((bits + pad) // 8, "big")
+
+
+class Bits:
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
+
+    def take(self, width: int) -> int:
+        end = self.at + width
+        if end > 8 * len(self.data):
+            raise ValueError("the column ends early")
+        part = int.from_bytes(self.data[self.at // 8 : -(-end // 8)], "big")
+        self.at = end
+        return (part >> (-end % 8)) & ((1 << width) - 1)
+
+
+def signed(value: int, bits: int) -> int:
+    return value - (1 << bits) if value >> (bits - 1) else value
+
+
+def encode_ints(values: np.ndarray) -> bytes:
+    v = [int(x) for x in values]
+    if not v:
+        return b""
+    fields = [(v[0] & MASK, 64)]
+    if len(v) > 1:
+        fields.append(((v[1] - v[0]) & MASK, 64))
+    for before, at, after in zip(v, v[1:], v[2:], strict=False):
+        dod = signed((after - 2 * at + before) & MASK, 64)
+        for prefix, width, bits, low, high in CLASSES:
+            if low <= dod <= high:
+                fields += [(prefix, width), (dod & ((1 << bits) - 1), bits)]
+                break
+        else:
+            fields += [(RAW_PREFIX, RAW_PREFIX_BITS), (dod & MASK, 64)]
+    return joined(fields)
+
+
+def decode_ints(data: bytes, count: int) -> np.ndarray:
+    if not count:
+        return np.zeros(0, dtype=np.int64)
+    bits = Bits(data)
+    out = [signed(bits.take(64), 64)]
+    if count > 1:
+        delta = signed(bits.take(64), 64)
+        out.append(out[0] + delta)
+    for _ in range(count - 2):
+        ones = 0
+        while ones < 4 and bits.take(1):
+            ones += 1
+        width = (0, 7, 9, 12, 64)[ones]
+        delta += signed(bits.take(width), width) if width else 0
+        out.append(signed((out[-1] + delta) & MASK, 64))
+    return np.array(out, dtype=np.int64)
+
+
+def encode_floats(values: np.ndarray) -> bytes:
+    """A changed value is two flags and its 64 XOR bits: the format's window of meaningful bits never narrows."""
+    raw = [int(x) for x in np.asarray(values, dtype="<f8").view("<u8")]
+    fields = [(raw[0], 64)] if raw else []
+    for before, after in zip(raw, raw[1:], strict=False):
+        fields += [(0, 1)] if before == after else [(0b10, 2), (before ^ after, 64)]
+    return joined(fields)
+
+
+def decode_floats(data: bytes, count: int) -> np.ndarray:
+    if not count:
+        return np.zeros(0)
+    bits = Bits(data)
+    out = [bits.take(64)]
+    lead = trail = 0
+    for _ in range(count - 1):
+        x = 0
+        if bits.take(1):
+            if bits.take(1):  # a window of its own, which readers accept though writers never make one
+                lead, width = bits.take(6), bits.take(6)
+                trail = 64 - lead - width
+            x = bits.take(64 - lead - trail) << trail
+        out.append(out[-1] ^ x)
+    return np.array(out, dtype="<u8").view("<f8")

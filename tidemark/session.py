@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +25,17 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(to)
     context._tidemark_shipped = True
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named in spark.checkpoint.dir; a temporary one where none is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def fresh_dir(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_dir(spark)}/tidemark/{kind}-{uuid.uuid4().hex}"
