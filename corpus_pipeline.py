@@ -12,6 +12,10 @@ from tidemark.session import ship
 LEAST_SCORE = 0.5
 
 
+#: The columns that stages work on; others are carried along.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learnt; one without letters, or torn between languages, goes.
 
@@ -19,27 +23,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship(spark)
     model = langid.fit(docs, F.lit(True))
-    scored = langid.predict(docs, model).where((F.col("lang_pred") != langid.UND) & (F.col("lang_score") >= LEAST_SCORE))
-    return scored.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    own, back = common.carried(docs, OWN)
+    kept = langid.predict(own, model).where((F.col("lang_pred") != langid.UND) & (F.col("lang_score") >= LEAST_SCORE))
+    return back(kept.withColumn("lang", F.coalesce("lang", "lang_pred")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose fingerprints link at 3 or fewer bits."""
     ship(spark)
-    return simhash.dedup(docs)
+    own, back = common.carried(docs, OWN)
+    return back(simhash.dedup(own))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages of 400 bytes and more that repeat anywhere; n_chars counts what is left."""
     ship(spark)
-    cut = substrings.dedup(docs.drop("kept"), as_text=True)
-    return cut.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+    own, back = common.carried(docs, OWN)
+    left = substrings.dedup(own, as_text=True)
+    return back(left.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target asks."""
     ship(spark)
-    return mixing.mix(docs)
+    own, back = common.carried(docs, OWN)
+    return back(mixing.mix(own))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

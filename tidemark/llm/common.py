@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import fresh_dir
+
 #: Raw text bytes that one numpy pass takes; bounds a worker's arrays whatever the Arrow batch holds.
 CHUNK_BYTES = 1_000_000
 
@@ -26,21 +26,12 @@ def held_out(modulus: int, rest: int, doc_id: str = "doc_id") -> Column:
     return F.coalesce(remainder(doc_id, modulus) == rest, F.lit(True))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 class Written:
     """A table in the shared folder: it cuts lineage, outlives executors, and can be dropped when superseded."""
 
     def __init__(self, df: DataFrame, codec: str = "zstd"):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/tidemark/{uuid.uuid4().hex}"
+        self.path = fresh_dir(self.spark, "corpus")
         df.write.option("compression", codec).parquet(self.path)
         self.schema = df.schema
 
@@ -58,6 +49,18 @@ def cut(df: DataFrame) -> DataFrame:
     return Written(df).df
 
 
+def carried(df: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with its further columns in one struct, and a function that unpacks them again in the old order.
+
+    Operators add columns of their own; further columns of any name thus neither clash nor get lost.
+    """
+    rest = [c for c in df.columns if c not in own]
+    if not rest:
+        return df, lambda out: out.select(*df.columns)
+    held = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_carried")
+    return df.select(*[c for c in df.columns if c in own], held), lambda out: out.select(*[F.col("_carried")[c].alias(c) if c in rest else c for c in df.columns])
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """Python bytes of a binary column; null counts as empty."""
     return [x or b"" for x in column.to_pylist()]

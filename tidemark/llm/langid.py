@@ -144,7 +144,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
             rest = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*batch.schema.names[:-1], "lang_pred", "lang_score"])
 
-    rest = documents.drop("lang_pred", "lang_score")
+    rest = documents.drop("lang_pred", "lang_score", "_bytes")
     out = T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     return rest.withColumn("_bytes", F.col("text").cast("binary")).mapInArrow(run, out)
 

@@ -50,7 +50,7 @@ def fingerprints(documents: DataFrame, words: int = 3) -> DataFrame:
             prints = np.array([fingerprint(x, words) for x in common.text_bytes(batch.column("_bytes"))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints)], [*batch.schema.names[:-1], "simhash"])
 
-    rest = documents.drop("simhash")
+    rest = documents.drop("simhash", "_bytes")
     out = T.StructType([*rest.schema.fields, T.StructField("simhash", T.LongType())])
     return rest.withColumn("_bytes", F.col("text").cast("binary")).mapInArrow(run, out)
 

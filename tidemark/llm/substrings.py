@@ -243,7 +243,7 @@ def dedup(documents: DataFrame, length: int = 400, as_text: bool = False) -> Dat
     Spans are found with 128-bit keys of two 64-bit hashes of the bytes. With ``as_text``, kept is a string: where a
     span ends within a character, what is left of the character goes too.
     """
-    rest = [c for c in documents.columns if c not in ("text", "n_bytes", "spans", "kept")]
+    rest = [c for c in documents.columns if c not in ("text", "n_bytes", "spans", "kept", "_id", "_h", "_bytes", "z")]
     keyed = _keyed(documents.select(*rest, "text"))
     found = common.Written(repeated(documents, length)).df
     texts = _squeezed(keyed.select(*rest, "_id", "_h", "_bytes"))

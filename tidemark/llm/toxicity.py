@@ -157,7 +157,7 @@ def common_score(documents: DataFrame, logits_of, name: str) -> DataFrame:
             rest = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(1.0 / (1.0 + np.exp(-z)))], [*batch.schema.names[:-1], name])
 
-    rest = documents.drop(name)
+    rest = documents.drop(name, "_bytes")
     out = rest.schema.add(name, "double")
     return rest.withColumn("_bytes", F.col("text").cast("binary")).mapInArrow(run, out)
 
