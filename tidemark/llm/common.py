@@ -61,6 +61,13 @@ def carried(df: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, Callable[[D
     return df.select(*[c for c in df.columns if c in own], held), lambda out: out.select(*[F.col("_carried")[c].alias(c) if c in rest else c for c in df.columns])
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a folder; a table with fewer splits than cores (one small file) is dealt over the cores."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, "doc_id")
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """Python bytes of a binary column; null counts as empty."""
     return [x or b"" for x in column.to_pylist()]

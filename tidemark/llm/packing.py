@@ -142,5 +142,5 @@ def pack(documents: DataFrame, size: int = 2048, windows: int = 64, tokenizer: s
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    pieces = pack(common.documents(spark, sf_dir))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -218,6 +218,6 @@ def dedup(documents: DataFrame, distance: int = 3, words: int = 3) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    documents = common.documents(spark, sf_dir).select("doc_id", "text")
     found = near_duplicates(documents)
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")

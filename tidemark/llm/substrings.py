@@ -271,7 +271,7 @@ def dedup(documents: DataFrame, length: int = 400, as_text: bool = False) -> Dat
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    documents = common.documents(spark, sf_dir).select("doc_id", "text")
     found = dedup(documents)
     removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -163,7 +163,7 @@ def common_score(documents: DataFrame, logits_of, name: str) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    documents = common.documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(documents, labels, ~common.held_out(4, 2, "_id"))
     scored = score(documents.select("doc_id", common.held_out(4, 2).alias("held_out"), "text"), model)
