@@ -47,10 +47,10 @@ def merkle_root(nodes: DataFrame) -> DataFrame:
     """One row (root): leaves in order of id, hashed in pairs level by level; an odd last one is carried up.
 
     Cluster state is one short row for each node, so the hashes are gathered; without nodes the root is the hash of
-    the word ``empty``. Each level is an expression over the array: as many levels as 2^20 nodes need.
+    the word ``empty``. Each level is an expression over the array: as many levels as 2^14 nodes need.
     """
     row = leaves(nodes).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "hash"))), lambda s: s["hash"]).alias("level"))
-    for _ in range(20):
+    for _ in range(14):
         pair = lambda i: F.when(F.get("level", 2 * i + 1).isNull(), F.get("level", 2 * i)).otherwise(F.sha2(F.concat(F.get("level", 2 * i), F.get("level", 2 * i + 1)), 256))
         nxt = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size("level") + 1) / 2) - 1, F.lit(0)).cast("int")), pair)
         row = row.select(F.when(F.size("level") > 1, nxt).otherwise(F.col("level")).alias("level"))

@@ -29,6 +29,9 @@ def first_wins(points: DataFrame, *order: str) -> DataFrame:
     """
     rest = [c for c in points.columns if c not in (*SERIES, "timestamp")]
     keys = [*SERIES, "timestamp"]
+    if len(order) < 2:  # fixed-width columns, one by one, stay in a hash aggregate
+        by = order[0] if order else "seq"
+        return points.groupBy(*keys).agg(*[(F.min(c) if c == by else F.min_by(c, by)).alias(c) for c in rest]).select(*points.columns)
     first = points.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*(order or ("seq",)))).alias("_f"))
     return first.select(*[f"_f.{c}" if c in rest else c for c in points.columns])
 
