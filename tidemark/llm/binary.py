@@ -121,7 +121,7 @@ def write(documents: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 2) -> c
         if docs:
             yield segment()
 
-    ordered = packed.repartitionByRange("doc_id", "z").sortWithinPartitions("doc_id", "z")
+    ordered = packed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "z")
     return common.Written(ordered.mapInArrow(run, FORMAT))
 
 

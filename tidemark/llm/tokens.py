@@ -1,17 +1,26 @@
-"""Token ids of whole texts with a public tokenizer, by chunks between blanks that are encoded once."""
+"""Token ids of whole texts with a public tokenizer, each different piece of text encoded by the library once."""
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: The vocabulary file by its public name; a path works as well.
 WORD_BPE = "word_bpe_49k.json"
-#: Chunks a worker remembers (some 200 bytes each); the memo starts anew when it is full.
-REMEMBER = 400_000
+#: Pieces a worker remembers (some 200 bytes each); the memo starts anew when it is full.
+REMEMBER = 700_000
+#: New pieces that go to the library in one text.
+TOGETHER = 200
 _MADE: dict[str, Encoder] = {}
+#: Texts whose pieces are plain to see: ASCII without apostrophes and angle brackets, and letters of Latin-1.
+PLAIN = re.compile("[\x00-&(-;=-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+#: Their pieces, in lower case: runs of letters, single digits, runs of what else isn't blank.
+PIECE = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ \t-\ra-z0-9\xdf-\xf6\xf8-\xff]+")
+#: What marks the last token of a piece.
+WORD_END = "</w>"
 
 
 def path_of(name: str) -> str:
@@ -24,36 +33,59 @@ def path_of(name: str) -> str:
 
 
 class Encoder:
-    """Encodes without special tokens. Valid for tokenizers whose pieces never span blanks and that drop them.
+    """Encodes without special tokens. For tokenizers of lower-cased pieces that never hold blanks and end in a mark.
 
-    No piece of such a tokenizer holds a blank, so the ids of a text are the ids of its chunks between ASCII blanks,
-    one after the other. Text repeats most of its chunks, so each is encoded by the library once and looked up then.
+    The ids of a text are those of its pieces, one after the other. Text repeats most of its pieces, so each is encoded
+    by the library once and looked up then. The pieces of a plain text are found here; of any other text the
+    pieces are its chunks between ASCII blanks, which the library takes apart itself.
     """
 
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path_of(name))
-        self.known: dict[bytes, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.ends[number] = token.endswith(WORD_END)
+        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; an empty text has none."""
         out = []
-        for text in texts:
-            chunks = text.split()
-            try:
-                out.append(b"".join(map(self.known.__getitem__, chunks)))
-            except KeyError:
-                self.learn(set(chunks))
-                out.append(b"".join(map(self.known.__getitem__, chunks)))
+        for raw in texts:
+            text = raw.decode("utf-8", "replace")
+            if PLAIN.fullmatch(text):
+                out.append(self.looked_up(PIECE.findall(text.lower()), self.pieces, self.learn_pieces))
+            else:
+                out.append(self.looked_up(raw.split(), self.chunks, self.learn_chunks))
         return out
 
-    def learn(self, chunks: set[bytes]) -> None:
-        if len(self.known) + len(chunks) > REMEMBER:
-            self.known.clear()
-        new = [c for c in chunks if c not in self.known]
+    @staticmethod
+    def looked_up(parts: list, known: dict, learn) -> bytes:
+        try:
+            return b"".join(map(known.__getitem__, parts))
+        except KeyError:
+            if len(known) > REMEMBER:
+                known.clear()
+            learn([p for p in dict.fromkeys(parts) if p not in known])
+            return b"".join(map(known.__getitem__, parts))
+
+    def learn_pieces(self, new: list[str]) -> None:
+        groups = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
+        got = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        for group, encoded in zip(groups, got, strict=True):
+            ids = np.array(encoded.ids, dtype="<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(group) or len(ids) * 4 != stops[-1]:
+                raise ValueError("this tokenizer doesn't mark the ends of pieces")
+            raw, start = ids.tobytes(), 0
+            for piece, stop in zip(group, stops.tolist(), strict=True):
+                self.pieces[piece], start = raw[start:stop], stop
+
+    def learn_chunks(self, new: list[bytes]) -> None:
         got = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
         for chunk, encoded in zip(new, got, strict=True):
-            self.known[chunk] = np.array(encoded.ids, dtype="<u4").tobytes()
+            self.chunks[chunk] = np.array(encoded.ids, dtype="<u4").tobytes()
 
 
 def encoder(name: str = WORD_BPE) -> Encoder:
