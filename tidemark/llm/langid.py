@@ -19,6 +19,8 @@ from . import common
 WORD = re.compile(r"[^\W\d_]+")
 WORD_KIND = 0
 UND = "und"
+#: Words that a worker remembers.
+REMEMBER = 400_000
 
 
 @dataclass
@@ -30,32 +32,52 @@ class Model:
     tables: dict[int, dict[str, int]]
     logs: dict[int, np.ndarray]
     orders: tuple[int, ...]
-    memo: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
+    memo: dict[str, int] = field(default_factory=dict, repr=False)
+    rows: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}}
-
-    def word(self, word: str) -> np.ndarray:
-        """Log weight of a word in each language: its own if known, else the mean over the longest n-grams known."""
-        found = self.memo.get(word)
-        if found is None:
-            found = self._backed_off(word)
-            if len(self.memo) >= 300_000:  # a bounded memo of pure results
-                self.memo.clear()
-            self.memo[word] = found
-        return found
-
-    def _backed_off(self, word: str) -> np.ndarray:
-        at = self.tables[WORD_KIND].get(word)
-        if at is not None:
-            return self.logs[WORD_KIND][at]
-        padded = f" {word} "
-        for n in self.orders:
-            table = self.tables[n]
-            hits = [table[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in table]
-            if hits:
-                return self.logs[n][hits].mean(axis=0)
-        return np.zeros(len(self.langs))
+        return self.__dict__ | {"memo": {}, "rows": None}
+
+    def weights(self, words: list[str]) -> np.ndarray:
+        """Log weights of words in each language, a row each: a word's own if known, else of the longest n-grams known."""
+        try:
+            at = list(map(self.memo.__getitem__, words))
+        except KeyError:
+            self.learn(words)
+            at = list(map(self.memo.__getitem__, words))
+        return self.rows[at]
+
+    def learn(self, words: list[str]) -> None:
+        """Remember words that are new; the memo of pure results starts anew when it is full."""
+        if self.rows is None or len(self.memo) + len(words) > len(self.rows):
+            self.memo.clear()
+            self.rows = np.zeros((max(REMEMBER, len(words)), len(self.langs)), dtype=np.float32)
+        known, taken = self.tables[WORD_KIND], {n: ([], [], []) for n in (WORD_KIND, *self.orders)}
+        for word in words:
+            if word in self.memo:
+                continue
+            row = self.memo[word] = len(self.memo)
+            at = known.get(word)
+            if at is not None:
+                n, hits = WORD_KIND, (at,)
+            else:
+                padded = f" {word} "
+                for n in self.orders:
+                    table = self.tables[n]
+                    hits = [table[g] for g in map(padded.__getitem__, map(slice, range(len(padded) - n + 1), range(n, len(padded) + 1))) if g in table]
+                    if hits:
+                        break
+                else:
+                    continue
+            rows, sizes, entries = taken[n]
+            rows.append(row)
+            sizes.append(len(hits))
+            entries.extend(hits)
+        for n, (rows, sizes, entries) in taken.items():
+            if rows:
+                sizes = np.array(sizes)
+                sums = np.add.reduceat(self.logs[n][entries], np.cumsum(sizes) - sizes, axis=0)
+                self.rows[rows] = sums / sizes[:, None]
 
 
 def grams(word: str, orders: tuple[int, ...]) -> Iterator[tuple[int, str]]:
@@ -124,7 +146,7 @@ def identify(text: str, model: Model) -> tuple[str, float]:
     counts = Counter(words)
     total = model.prior.copy()
     weight = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
-    total += weight @ np.array([model.word(w) for w in counts])
+    total += weight @ model.weights(list(counts))
     best = int(total.argmax())
     return model.langs[best], float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
@@ -150,7 +172,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = common.documents(spark, sf_dir)
     model = fit(documents.select("doc_id", "lang", "text"), ~common.held_out(4, 2))
     scored = predict(documents.select("doc_id", common.held_out(4, 2).alias("held_out"), "text"), model)
     return scored.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
