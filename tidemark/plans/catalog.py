@@ -175,9 +175,9 @@ def tombstone_mask(spark, sf):
 @query(f"SELECT seq, device_id, metric_name, timestamp, value FROM {E} WHERE metric_name <> 'click' OR seq >= (SELECT max(event_id) // 2 FROM events)")
 def tombstone_write_drop(spark, sf):
     e = E_(spark, sf)
-    half = e.agg(F.floor(F.max("seq") / 2).alias("cleared_seq"))
-    marks = e.where("metric_name = 'click'").select(*SERIES).distinct().join(F.broadcast(half))  # one row
-    return P.written_while_alive(e, marks.withColumn("deleted_seq", F.lit(0)))
+    half = e.agg(F.floor(F.max("seq") / 2)).scalar()
+    marks = e.where("metric_name = 'click'").select(*SERIES).distinct()
+    return P.written_while_alive(e, marks.withColumns({"deleted_seq": F.lit(0), "cleared_seq": half}))
 
 
 @query(f"SELECT device_id, metric_name, timestamp, value FROM {E}")
@@ -332,9 +332,9 @@ def throughput_1s(spark, sf):
     return live.throughput(E_(spark, sf))
 
 
-@query(f"SELECT device_id, metric_name, min(timestamp) AS min_time, max(timestamp) AS max_time, min(value) AS min_value, max(value) AS max_value, CASE WHEN max(timestamp) = min(timestamp) THEN 1 ELSE max(timestamp) - min(timestamp) END AS time_range, round(CASE WHEN max(value) = min(value) THEN 1 ELSE max(value) - min(value) END, 4) AS value_range, round(avg(value), 2) AS average FROM {E} GROUP BY ALL")
+@query(f"SELECT device_id, metric_name, min(timestamp) AS min_time, max(timestamp) AS max_time, min(value) AS min_value, max(value) AS max_value, CASE WHEN max(timestamp) = min(timestamp) THEN 1 ELSE max(timestamp) - min(timestamp) END AS time_range, round(CASE WHEN max(value) = min(value) THEN 1 ELSE max(value) - min(value) END, 4) AS value_range, round(avg(value), 6) AS average FROM {E} GROUP BY ALL")
 def plot_bounds(spark, sf):
-    return rounded(display.bounds(E_(spark, sf)).withColumn("average", F.round("average", 2)))
+    return rounded(display.bounds(E_(spark, sf)).withColumn("value_range", F.round("value_range", 4)), 6)
 
 
 @query(f"SELECT device_id, metric_name, tick::INT AS tick, round(lo + span * tick / 5, 4) AS tick_value FROM (SELECT device_id, metric_name, min(value) AS lo, CASE WHEN max(value) = min(value) THEN 1 ELSE max(value) - min(value) END AS span FROM {E} GROUP BY ALL), (SELECT unnest(range(0, 6)) AS tick)")
