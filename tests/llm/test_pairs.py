@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import ann, binary, packing, simhash, substrings, tokens, vector_dups
+from tidemark.llm import ann, binary, common, packing, simhash, substrings, tokens, vector_dups
 from tidemark.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -212,7 +212,7 @@ def check_packing(pieces, want):
 
 
 def test_packing_query(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = common.documents(spark, SF)
     pdf = docs.toPandas()
     want = dict(zip(pdf.doc_id, exact(pdf.text, 1)))
     pieces = packing.pack(docs).collect()
