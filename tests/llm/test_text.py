@@ -114,6 +114,8 @@ def test_mixing_targets(spark, odd):
     assert mixed.count() == len(ODD) and mixing.copies(odd.limit(0)).count() == 0
     twice = [Counter((r.doc_id, r.copies) for r in mixing.copies(odd.repartition(n)).collect()) for n in (1, 5)]
     assert twice[0] == twice[1]
+    shuffled = mixing.copies(odd, broadcast_bytes=0)
+    assert Counter(shuffled.collect()) == Counter(mixed.collect())
 
 
 def test_components(spark):

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 #: What separates words: the blank and the controls from tab to carriage return.
 WORDS = r"[^\x20\x09-\x0D]+"
 SEED = "mix"
+#: Targets that take no more bytes than this (names, and three numbers for each source) are broadcast.
+BROADCAST_BYTES = 1 << 20
 
 
 def size_of(text: str = "text"):
@@ -38,16 +42,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), total: float
     return per.select("source", "source_size", target.alias("target"))
 
 
-def copies(documents: DataFrame, **options) -> DataFrame:
+def copies(documents: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, **options) -> DataFrame:
     """``documents`` with size, source_size, target and copies, replacing columns so named; one row each.
 
     A source's rate is target / source_size. A document gets floor(rate) copies, and one more with probability
     rate - floor(rate), decided by the hash of its id alone, so reruns agree; repeated rows decide alike. A null
-    text has size 0; null sources are one source. The targets (one row for each source) join back on the source:
-    a hot source's rows are not gathered, and a table beyond the broadcast limit is split by AQE's skew join.
+    text has size 0; null sources are one source. The targets (one row for each source) are written and measured:
+    up to ``broadcast_bytes`` they are broadcast, so that no text is shuffled; beyond, both sides are shuffled by
+    source, and AQE's skew join splits a hot one.
     """
     sized = documents.drop("size", "source_size", "target", "copies").withColumn("size", size_of())
-    goal = targets(sized, **options).withColumnRenamed("source", "_source")
+    goal = common.Written(targets(sized, **options).withColumnRenamed("source", "_source")).df
+    held = goal.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.col("_source").cast("string")), F.lit(0)) + 32), F.lit(0)).alias("n")).first().n
+    goal = F.broadcast(goal) if held <= broadcast_bytes else goal
     placed = sized.join(goal, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     digits = F.conv(F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10)
