@@ -11,9 +11,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Bytes in an Arrow batch, unless the application sets them: a task holds a batch several times (in the JVM, in
+#: Python, as Python objects, and its results), so the default of 64 MB takes a few hundred MB for each core.
+ARROW_BYTES = "8m"
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package's sources to the executors, once for each application; like ``--py-files``."""
     context = spark.sparkContext
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not context.getConf().contains(key):
+        spark.conf.set(key, ARROW_BYTES)
     if getattr(context, "_tidemark_shipped", False):
         return spark
     root = Path(__file__).resolve().parent
