@@ -1,8 +1,10 @@
 """Classifiers, language identification, mixing and the pipeline."""
 
+import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,36 @@ def test_language_takes_odd_rows(spark, odd):
     assert {r.lang_pred for r in langid.predict(odd, none).collect()} == {"und"}
 
 
+def test_language_rare_words_are_kept(spark):
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(130)]
+    rows = [(i, " ".join(words[60 * (i % 2) : 60 * (i % 2) + 60]), "xy"[i % 2]) for i in range(40)]
+    rows += [(100 + i, " ".join(words[120:]), "rare") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True), entries=20)
+    assert set(words[120:]) <= set(model.tables[0]) and len(model.tables[0]) == 50
+    assert {(r.lang, r.lang_pred) for r in langid.predict(docs.where("lang = 'rare'"), model).collect()} == {("rare", "rare")}
+
+
+def test_language_of_many(spark):
+    # 203 languages of one word each; the last three are the rarest, and a full memo starts anew
+    name = lambda i: f"{'abcdefghijklmno'[i % 15]}{'abcdefghijklmno'[i // 15]}"
+    rows = [(1000 * k + i, f"{name(i)}qz{name(i)} " * 4, f"l{i:03}") for i in range(203) for k in range(1 if i >= 200 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    model = langid.fit(docs, F.lit(True))
+    assert len(model.langs) == 203
+    got = langid.predict(docs, model).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == r.lang for r in got)
+
+
+def test_language_rows_equal_dense_ones():
+    counts = np.array([[3, 0, 1], [0, 0, 7], [2, 2, 0]])
+    total = np.array([10.0, 4.0, 20.0]) + 0.1 * 3
+    entry, lang = np.nonzero(counts)
+    rows = langid.Rows(np.log(0.1 / total), np.searchsorted(entry, np.arange(4)), lang, np.log(10.0 * counts[entry, lang] + 1))
+    assert np.allclose(rows[[2, 0, 1, 2]], np.log((counts + 0.1) / total)[[2, 0, 1, 2]])
+
+
 def test_mixing_equals_sql(spark):
     import duckdb
 

@@ -9,7 +9,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,8 +20,30 @@ from . import common
 WORD = re.compile(r"[^\W\d_]+")
 WORD_KIND = 0
 UND = "und"
-#: Words that a worker remembers.
-REMEMBER = 400_000
+#: Words that a worker remembers, and weights (words by languages) that it keeps for them and makes at a time.
+REMEMBER, WEIGHTS, STEP = 400_000, 8_000_000, 1_000_000
+
+
+@dataclass
+class Rows:
+    """Log weights of entries in each language: ``base`` where a language lacks the entry, else ``base`` plus a gain.
+
+    Entry i has the languages ``cols`` and ``gains`` from ``starts[i]`` to ``starts[i + 1]``, so the size follows the
+    counts above 0 and not entries times languages. An index of entries gives a row for each.
+    """
+
+    base: np.ndarray
+    starts: np.ndarray
+    cols: np.ndarray
+    gains: np.ndarray
+
+    def __getitem__(self, at: list[int]) -> np.ndarray:
+        at = np.asarray(at, dtype=np.int64)
+        sizes = self.starts[at + 1] - self.starts[at]
+        found = common.concat_ranges(self.starts[at], sizes)
+        out = np.tile(self.base, (len(at), 1))
+        out[np.repeat(np.arange(len(at)), sizes), self.cols[found]] += self.gains[found]
+        return out
 
 
 @dataclass
@@ -30,7 +53,7 @@ class Model:
     langs: list[str]
     prior: np.ndarray
     tables: dict[int, dict[str, int]]
-    logs: dict[int, np.ndarray]
+    logs: dict[int, np.ndarray | Rows]
     orders: tuple[int, ...]
     memo: dict[str, int] = field(default_factory=dict, repr=False)
     rows: np.ndarray | None = field(default=None, repr=False)
@@ -51,7 +74,7 @@ class Model:
         """Remember words that are new; the memo of pure results starts anew when it is full."""
         if self.rows is None or len(self.memo) + len(words) > len(self.rows):
             self.memo.clear()
-            self.rows = np.zeros((max(REMEMBER, len(words)), len(self.langs)), dtype=np.float32)
+            self.rows = np.zeros((max(min(REMEMBER, WEIGHTS // len(self.langs)), len(words)), len(self.langs)), dtype=np.float32)
         known, taken = self.tables[WORD_KIND], {n: ([], [], []) for n in (WORD_KIND, *self.orders)}
         for word in words:
             if word in self.memo:
@@ -87,22 +110,22 @@ def grams(word: str, orders: tuple[int, ...]) -> Iterator[tuple[int, str]]:
             yield n, padded[i : i + n]
 
 
-def fit(documents: DataFrame, usable, per_lang: int = 1_500, max_langs: int = 200, entries: int = 40_000, orders: tuple[int, ...] = (5, 4, 3, 2, 1)) -> Model:
+def fit(documents: DataFrame, usable, per_lang: int = 1_500, entries: int = 40_000, orders: tuple[int, ...] = (5, 4, 3, 2, 1)) -> Model:
     """Learn from text and non-null lang of rows where ``usable`` holds.
 
-    Of each of the ``max_langs`` commonest languages a hash-seeded share of the rows is read, ``per_lang`` in
-    expectation (all of them, if there are fewer). Counts are aggregated by Spark; of each kind (words, and
-    n-grams of each order) the ``entries`` commonest are kept, so the model is bounded by the parameters.
+    Of every language a hash-seeded share of the rows is read, ``per_lang`` in expectation (all of them, if there are
+    fewer). Counts are aggregated by Spark; of each kind (words, and n-grams of each order) the ``entries`` commonest
+    of each language are kept, with their counts in all languages, so a language keeps its own however rare it is.
+    The model is bounded by the parameters and grows with the number of languages.
     """
     rows = documents.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
-    known = sizes.collect()
+    known = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     langs = sorted(r["lang"] for r in known)
     if not langs:
         return Model([], np.zeros(0), {k: {} for k in (WORD_KIND, *orders)}, {k: np.zeros((0, 0)) for k in (WORD_KIND, *orders)}, orders)
-    rate = F.create_map(*[x for r in known for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["n"])))])
+    rates = documents.sparkSession.createDataFrame([(r["lang"], min(1.0, per_lang / r["n"])) for r in known], "lang string, rate double")
     chance = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(chance < F.element_at(rate, F.col("lang"))).select("lang", F.col("text").cast("binary").alias("text"))
+    sample = rows.join(F.broadcast(rates), "lang").where(chance < F.col("rate")).select("lang", F.col("text").cast("binary").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
@@ -122,19 +145,22 @@ def fit(documents: DataFrame, usable, per_lang: int = 1_500, max_langs: int = 20
     counted = common.Written(sample.mapInArrow(count, "lang string, kind int, gram string, n long").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")))
     totals = {(r.kind, r.lang): r.n for r in counted.df.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
     tables, logs = {}, {}
-    column = {lang: i for i, lang in enumerate(langs)}
+    alike, least = Window.partitionBy("kind", "gram"), F.when(F.col("kind") == WORD_KIND, 3).otherwise(1)
+    usual = counted.df.withColumn("all", F.sum("n").over(alike)).where(F.col("all") >= least)
+    ranked = usual.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "gram")))
+    kept = common.Written(ranked.withColumn("best", F.min("rank").over(alike)).where(F.col("best") <= entries).select("kind", "gram", "lang", "n"))
     for kind in (WORD_KIND, *orders):
-        least = 3 if kind == WORD_KIND else 1
-        top = counted.df.where(F.col("kind") == kind).groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n"))
-        got = top.where(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(entries).select("gram", "by").collect()
-        tables[kind] = {r.gram: i for i, r in enumerate(got)}
-        c = np.zeros((len(got), len(langs)))
-        for i, r in enumerate(got):
-            for lang, n in r.by.items():
-                c[i, column[lang]] = n
+        got = kept.df.where(F.col("kind") == kind).select("gram", "lang", "n").toArrow().sort_by([("gram", "ascending"), ("lang", "ascending")])
+        # sorted, so that equal grams are neighbours
+        grams_of = got["gram"].to_pylist()
+        firsts = [i for i, g in enumerate(grams_of) if not i or g != grams_of[i - 1]]
+        tables[kind] = {grams_of[i]: at for at, i in enumerate(firsts)}
         total = np.array([totals.get((kind, lang), 0) for lang in langs], dtype=float)
-        logs[kind] = (np.log((c + 0.1) / (total + 0.1 * max(len(got), 1)))).astype(np.float32)
+        base = np.log(0.1 / (total + 0.1 * max(len(firsts), 1))).astype(np.float32)
+        cols = pc.index_in(got["lang"], pa.array(langs, pa.string())).to_numpy().astype(np.int32)
+        logs[kind] = Rows(base, np.array([*firsts, len(grams_of)]), cols, np.log(10.0 * got["n"].to_numpy() + 1.0).astype(np.float32))
     counted.drop()
+    kept.drop()
     return Model(langs, np.zeros(len(langs)), tables, logs, orders)
 
 
@@ -146,7 +172,9 @@ def identify(text: str, model: Model) -> tuple[str, float]:
     counts = Counter(words)
     total = model.prior.copy()
     weight = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
-    total += weight @ model.weights(list(counts))
+    listed, step = list(counts), max(1, STEP // len(model.langs))
+    for i in range(0, len(listed), step):
+        total += weight[i : i + step] @ model.weights(listed[i : i + step])
     best = int(total.argmax())
     return model.langs[best], float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
@@ -157,7 +185,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     A null text, or one without a letter, gets ``und`` and 0.0. Equal scores go to the language first by code
     point. Repeated rows each get the same answer.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(model)  # bounded by `entries`, orders and languages
+    sent = documents.sparkSession.sparkContext.broadcast(model)  # bounded by `entries` and orders for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
