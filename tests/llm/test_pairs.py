@@ -230,6 +230,18 @@ def test_packing_odd_rows(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("fan", [1024, 4])
+def test_packing_merges_over_partitions(spark, fan):
+    rows = [(i, f"some words of {i} " * 60) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
+    want = {d: exact([t], 1) for d, t in rows}
+    by = check_packing(packing.pack(docs, fan=fan).collect(), want)
+    total, sizes = sum(len(x[0]) for x in want.values()), sorted((sum(p.length for p in w) for w in by.values()), reverse=True)
+    assert total // 20 < 2048 < total
+    assert sizes[: total // 2048] == [2048] * (total // 2048)
+    assert len(sizes) - total // 2048 == (total % 2048).bit_count()
+
+
 @settings(deadline=None)
 @given(st.lists(st.integers(1, 90), max_size=60), st.integers(1, 5))
 def test_packer_keeps_everything(sizes, windows):

@@ -24,7 +24,7 @@ class Packer:
     A piece goes to the open window with the least room that holds it. If none does and another may be opened, one
     is; else the fullest is emitted, its last gap filled with the piece's beginning, so an emitted window has no
     padding. At the end the open windows are merged: the emptiest is cut to fill the fullest until one is left, and
-    that one is cut at powers of two.
+    that one stays open or is cut at powers of two.
     """
 
     def __init__(self, size: int = 2048, windows: int = 64):
@@ -59,7 +59,8 @@ class Packer:
             yield [*pieces, (doc, start, ids[: 4 * room], total)]
             yield from self.place((doc, start + room, ids[4 * room :], total))
 
-    def finish(self) -> Iterator[list[Piece]]:
+    def merge(self) -> Iterator[list[Piece]]:
+        """Full windows of what is open; at most one window stays open."""
         left = [[room, pieces] for room, _, pieces in self.open]
         self.open = []
         while len(left) > 1:
@@ -77,8 +78,15 @@ class Packer:
                 left.append([room, pieces])
                 break
             yield pieces
-        for _, pieces in left:
+        for room, pieces in left:
+            self.made += 1
+            self.open.append((room, self.made, pieces))
+
+    def finish(self) -> Iterator[list[Piece]]:
+        yield from self.merge()
+        for _, _, pieces in self.open:
             yield from powers_of_two(pieces)
+        self.open = []
 
 
 def powers_of_two(pieces: list[Piece]) -> Iterator[list[Piece]]:
@@ -99,37 +107,63 @@ def powers_of_two(pieces: list[Piece]) -> Iterator[list[Piece]]:
         yield window
 
 
-def pack(documents: DataFrame, size: int = 2048, windows: int = 64, tokenizer: str = WORD_BPE, end_id: int = 1) -> DataFrame:
+def pack(documents: DataFrame, size: int = 2048, windows: int = 64, tokenizer: str = WORD_BPE, end_id: int = 1, fan: int = 1024) -> DataFrame:
     """A row for each piece of ``documents`` (doc_id, text) in the windows: the training sequences themselves.
 
     doc_id, start (ids of its document before it), length, ids (little-endian 32-bit), doc_tokens (with ``end_id``,
     that ends each document), sequence_id, offset (ids before it in its window). Every partition is packed where
-    it lies, with at most ``windows`` open windows, so nothing is shuffled and memory doesn't grow with the
-    partition; sequence ids hold the partition in their upper bits. A null or empty text is its end id alone.
-    Repeated rows are packed each. Windows are of ``size`` ids but for up to log2(size) a partition, which hold a
-    power of two; none holds padding. ``size`` should be a power of two itself.
+    it lies, with at most ``windows`` open windows, so memory doesn't grow with the partition, and written. Its last
+    leftover, under ``size`` ids, is merged with those of about ``fan`` partitions in a task, and so on with what
+    these leave until a single task is left; only leftovers are shuffled. Sequence ids hold the partition in their
+    upper bits and the round of merging below. A null or empty text is its end id alone. Repeated rows are packed
+    each. Windows are of ``size`` ids but for up to log2(size) of the whole table, which hold a power of two; none
+    holds padding. ``size`` should be a power of two itself.
     """
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    done = common.Written(texts.mapInArrow(_packed(size, windows, tokenizer, end_id, 0, False), ROWS)).df
+    out, turn = done.where("NOT left").select(*NAMES), 0
+    while parts := done.where("left").select("part").distinct().count():
+        turn, last = turn + 1, parts <= fan
+        left = done.where("left").select("part", *NAMES)
+        left = left.repartition(1) if last else left.repartition(-(-parts // fan), "part")
+        done = common.Written(left.sortWithinPartitions("part", "offset").drop("part").mapInArrow(_packed(size, windows, tokenizer, end_id, turn, last), ROWS)).df
+        out = out.union(done.where("NOT left").select(*NAMES))
+    return out
+
+
+NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+ROWS = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, part int, left boolean"
+
+
+def _packed(size: int, windows: int, tokenizer: str, end_id: int, turn: int, last: bool):
+    """Packs a partition: texts in turn 0, else pieces that were left; ``last`` cuts what it leaves itself."""
+    names = [*NAMES, "part", "left"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, codes, end = Packer(size, windows), encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        number, rows, held = TaskContext.get().partitionId() << 40, [], 0
+        part, packer, end = TaskContext.get().partitionId(), Packer(size, windows), np.array([end_id], dtype="<u4").tobytes()
+        number, rows, held = (part << 40) + (turn << 36), [], 0
 
-        def windows_of() -> Iterator[list[Piece]]:
+        def windows_of() -> Iterator[tuple[list[Piece], bool]]:
+            codes = None if turn else encoder(tokenizer)
             for batch in batches:
+                if turn:
+                    for piece in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")], strict=True):
+                        yield from ((w, False) for w in packer.place(piece))
+                    continue
                 texts = common.text_bytes(batch.column("text"))
                 for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                    yield from packer.add(doc, codes.encode([text])[0] + end)
-            yield from packer.finish()
+                    yield from ((w, False) for w in packer.add(doc, codes.encode([text])[0] + end))
+            yield from ((w, False) for w in (packer.finish() if last else packer.merge()))
+            yield from ((pieces, True) for _, _, pieces in packer.open)
 
         def flushed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-        for window in windows_of():
+        for window, left in windows_of():
             offset = 0
             for doc, start, ids, total in window:
-                rows.append((doc, start, len(ids) // 4, ids, total, number, offset))
+                rows.append((doc, start, len(ids) // 4, ids, total, number, offset, part, left))
                 offset += len(ids) // 4
             number, held = number + 1, held + offset
             if held > 1 << 19:
@@ -138,7 +172,7 @@ def pack(documents: DataFrame, size: int = 2048, windows: int = 64, tokenizer: s
         if rows:
             yield flushed()
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return run
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
