@@ -185,6 +185,20 @@ def test_empty_cluster(spark):
     assert cluster.merkle_root(spark.createDataFrame([], NODE)).collect()[0].root == hashlib.sha256(b"empty").hexdigest()
 
 
+@pytest.mark.parametrize("n", [25, 4097, 20_001])
+def test_merkle_root_has_every_node(spark, n):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    nodes = spark.range(n).select(F.format_string("n%06d", "id").alias("id"), F.lit("a").alias("address"), F.lit("active").alias("status"), F.lit(1).alias("http_port"))
+    level = [sha(f"n{i:06}|a|active|1") for i in range(n)]
+    while len(level) > 1:
+        level = [sha("".join(level[i : i + 2])) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    assert [r.root for r in cluster.merkle_root(nodes).collect()] == level
+
+
 def test_replay_twice_is_once(spark, tmp_path):
     df = spark.createDataFrame([(i, "d", "m", i + 1, 1.0) for i in range(20)], COLUMNS)
     src = str(tmp_path / "in")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Heartbeat interval, and how many intervals of silence make a node suspect or down. Fixed values.
 INTERVAL, SUSPECT_AFTER, DOWN_AFTER = 2, 2, 5
+#: Levels of the Merkle tree that one task folds, and the leaves under them.
+LEVELS = 12
+BLOCK = 1 << LEVELS
 
 
 def latest(states: DataFrame, key: str, newest: tuple[str, ...]) -> DataFrame:
@@ -46,12 +49,30 @@ def leaves(nodes: DataFrame) -> DataFrame:
 def merkle_root(nodes: DataFrame) -> DataFrame:
     """One row (root): leaves in order of id, hashed in pairs level by level; an odd last one is carried up.
 
-    Cluster state is one short row for each node, so the hashes are gathered; without nodes the root is the hash of
-    the word ``empty``. Each level is an expression over the array: as many levels as 2^14 nodes need.
+    Without nodes the root is the hash of the word ``empty``. The nodes are counted: up to ``BLOCK`` are gathered and
+    folded in one task; more are numbered in order of id, and aligned blocks of ``BLOCK``, which are subtrees, are
+    folded apart, and their roots again, until one block is left.
     """
-    row = leaves(nodes).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "hash"))), lambda s: s["hash"]).alias("level"))
-    for _ in range(14):
+    level = leaves(nodes)
+    left = level.count()
+    if left > BLOCK:
+        numbered = level.orderBy("id", "hash").rdd.zipWithIndex().map(lambda x: (x[1], x[0]["hash"]))
+        level = nodes.sparkSession.createDataFrame(numbered, "id long, hash string")
+    while left > BLOCK:
+        level = _folded(level.groupBy(F.shiftright("id", LEVELS).alias("id")).agg(_in_order())).select("id", F.get("level", F.lit(0)).alias("hash"))
+        left = -(-left // BLOCK)
+    return _folded(level.agg(_in_order())).select(F.coalesce(F.get("level", F.lit(0)), F.sha2(F.lit("empty"), 256)).alias("root"))
+
+
+def _in_order() -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct("id", "hash"))), lambda s: s["hash"]).alias("level")
+
+
+def _folded(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with the at most ``BLOCK`` hashes of ``level`` folded to one."""
+    keys = [c for c in blocks.columns if c != "level"]
+    for _ in range(LEVELS):
         pair = lambda i: F.when(F.get("level", 2 * i + 1).isNull(), F.get("level", 2 * i)).otherwise(F.sha2(F.concat(F.get("level", 2 * i), F.get("level", 2 * i + 1)), 256))
         nxt = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size("level") + 1) / 2) - 1, F.lit(0)).cast("int")), pair)
-        row = row.select(F.when(F.size("level") > 1, nxt).otherwise(F.col("level")).alias("level"))
-    return row.select(F.coalesce(F.get("level", F.lit(0)), F.sha2(F.lit("empty"), 256)).alias("root"))
+        blocks = blocks.select(*keys, F.when(F.size("level") > 1, nxt).otherwise(F.col("level")).alias("level"))
+    return blocks
