@@ -1,11 +1,9 @@
-"""Suffix-array dedup: long repeated substrings, by refining buckets of suffixes with buckets of later offsets.
-
-Suffixes that share their first bytes share a bucket, and the bucket of a suffix at depth 2d is the pair of its
-bucket at depth d and the bucket of the suffix d bytes later. Buckets of one suffix are settled: nothing repeats
-there. What keeps this linear at scale is that suffixes are not sorted one by one from the start. The initial
-buckets are those of a q-gram, half as long as the match, that stands for every suffix around it: of the q-grams
-in a window of `length` bytes the one with the smallest hash is its anchor, so equal windows have equal anchors at
-equal places, and runs of suffixes with one anchor are dealt with as a unit until a bucket has to be refined.
+"""Suffix-array dedup: long repeated substrings, by refining buckets of suffixes with hashes of their own bytes.
+
+Suffixes that share an anchor share a bucket: of the q-grams in a window of `length` bytes, half as long as it, the
+one with the smallest hash is its anchor, so equal windows have equal anchors at equal places. Buckets are refined at
+fixed levels (runs of suffixes, groups of them, single ones) by hashes of more of the suffix's own bytes. This replaces
+bucket pointers: no bucket of a suffix some bytes later is looked up or reused.
 """
 
 from __future__ import annotations
