@@ -105,7 +105,9 @@ def cut(docs, length):
 def test_substring_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas().sort_values("doc_id")
     got = QUERIES["op10_substrings"](spark, SF).toPandas().sort_values("doc_id")
-    assert list(got[["n_bytes", "n_removed", "n_spans", "kept_sha256"]].itertuples(index=False, name=None)) == brute_cut([t.encode() for t in docs.text], 400)
+    raw = [t.encode() for t in docs.text]
+    assert list(got[["n_bytes", "n_removed", "n_spans", "kept_sha256"]].itertuples(index=False, name=None)) == brute_cut(raw, 400)
+    assert got.n_passages.tolist() == [len(p) for p in passages_of(raw, 200, 51, 400)]
 
 
 def test_substrings_at_every_offset(spark):
@@ -121,6 +123,53 @@ def test_substrings_at_every_offset(spark):
     assert cut(docs, 20) == brute_cut([t.encode() for t in texts], 20)
 
 
+def brute_runs(texts, length):
+    seen = Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t) + 2, dtype=int)
+        for p in range(len(t) - length + 1):
+            if seen[t[p : p + length]] > 1:
+                gone[p + 1 : p + length + 1] = 1
+        turn = np.diff(gone)
+        out.append(list(zip(np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist())))
+    return out
+
+
+def passages_of(texts, least, words, enough):
+    return [[(a, b) for a, b in runs if b - a >= enough or len(t[a:b].split()) >= words] for t, runs in zip(texts, brute_runs(texts, least))]
+
+
+def mixed_texts():
+    r = np.random.default_rng(8)
+    word = lambda: bytes(r.integers(97, 123, int(r.integers(1, 5)), dtype=np.uint8)).decode()
+    phrase = lambda n: " ".join(word() for _ in range(n))
+    shared = [phrase(int(n)) for n in r.integers(4, 30, 12)]
+    texts = [" ".join([phrase(int(r.integers(0, 9))), shared[int(r.integers(0, 12))], phrase(int(r.integers(0, 9)))]) for _ in range(60)]
+    return [*texts, texts[3], texts[4] + texts[5], "a" * 90, "a" * 61, "é" * 40, "", shared[0], "xyz" * 30]
+
+
+def test_passages_and_strings_in_one_search(spark):
+    texts = mixed_texts()
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    raw = [t.encode() for t in texts] + [texts[0].encode()]
+    want, short, long = brute_cut(raw, 40), passages_of(raw, 20, 8, 40), brute_runs(raw, 40)
+    spans = lambda col: [(s.lo, s.hi) for s in col]
+    got = Counter((r.doc_id, r.n_bytes, tuple(spans(r.passages)), tuple(spans(r.spans)), hashlib.sha256(r.kept).hexdigest()) for r in substrings.dedup_both(docs, 40, 20, 8).collect())
+    assert got == Counter((d, w[0], tuple(p), tuple(s), w[3]) for d, w, p, s in zip([*range(len(texts)), 0], want, short, long))
+    cut_ = Counter((r.doc_id, bytes(r.kept)) for r in substrings.dedup_passages(docs, 20, 8, 40).collect())
+    gone = lambda t, p: b"".join(t[a:b] for a, b in zip([0, *(x for _, x in p)], [*(x for x, _ in p), len(t)]))
+    assert cut_ == Counter((d, gone(t, p)) for d, t, p in zip([*range(len(texts)), 0], raw, short))
+
+
+def test_substrings_of_a_very_long_text(spark):
+    r = np.random.default_rng(6)
+    long = bytes(r.integers(97, 123, 2_500_000, dtype=np.uint8)).decode()
+    docs = spark.createDataFrame([(1, long), (2, long[1_000_000:1_000_700]), (3, "ab" * 600_000), (4, long[:399])], "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, [(s.lo, s.hi) for s in x.spans]) for x in substrings.dedup(docs).drop("kept").collect()}
+    assert got == {1: (2_500_000, [(1_000_000, 1_000_700)]), 2: (700, [(0, 700)]), 3: (1_200_000, [(0, 1_200_000)]), 4: (399, [])}
+
+
 def test_substring_odd_rows(spark):
     text = "x" + "abcdefghij" * 3
     docs = spark.createDataFrame([(1, None), (2, ""), (3, text), (3, text), (None, "lone words of one"), (4, "short")], "doc_id long, text string")

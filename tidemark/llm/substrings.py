@@ -1,6 +1,6 @@
 """Suffix-array dedup: long repeated substrings, by refining buckets of suffixes with hashes of their own bytes.
 
-Suffixes that share an anchor share a bucket: of the q-grams in a window of `length` bytes, half as long as it, the
+Suffixes that share an anchor share a bucket: of the q-grams in a window of `length` bytes, a quarter as long as it, the
 one with the smallest hash is its anchor, so equal windows have equal anchors at equal places. Buckets are refined at
 fixed levels (runs of suffixes, groups of them, single ones) by hashes of more of the suffix's own bytes. This replaces
 bucket pointers: no bucket of a suffix some bytes later is looked up or reused.
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,10 +132,11 @@ def _settle(rows: DataFrame, ref: list[str]) -> tuple[DataFrame, DataFrame]:
     return rows.join(again, ["k1", "k2", "f"], "left_semi").select(*ref), classes.join(crowded, ["k1", "k2"], "left_semi").select("k1", "ref.*")
 
 
-def repeated(documents: DataFrame, length: int = 400, step: int = 16) -> DataFrame:
-    """(_id, _h, spans) of each text that has some: ranges (lo, hi) of bytes covered by repeated windows, unmerged.
+def repeated(keyed: DataFrame, length: int = 400, step: int = 16) -> DataFrame:
+    """(_id, _h, spans) of each text of ``keyed`` (_id, _h, _bytes) that has some: its repeated runs of bytes.
 
-    A window is ``length`` bytes of one text; it is repeated if equal bytes start anywhere else. Buckets are refined
+    A window is ``length`` bytes of one text; it is repeated if equal bytes start anywhere else. spans are the
+    ranges (lo, hi) that repeated windows cover, merged and in order: no more than a text has room for. Buckets are refined
     three times, each time only where they hold different classes:
 
     0. Each text gives its runs of suffixes by anchor. Anchors that occur once are dropped by a count. In the
@@ -146,8 +147,7 @@ def repeated(documents: DataFrame, length: int = 400, step: int = 16) -> DataFra
 
     Equal windows share their anchor at the same distance, hence every bucket, and are never separated.
     """
-    q = length // 2
-    keyed = _keyed(documents.select("doc_id", "text"))
+    q = max(length // 4, 1)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,54 +222,118 @@ def repeated(documents: DataFrame, length: int = 400, step: int = 16) -> DataFra
     twice = common.Written(alone.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")).df
     by_run.append(alone.join(twice, ["k1", "k2"], "left_semi").select("run", "a", F.col("a").alias("b")))
     fine = by_run[0].union(by_run[1]).join(where, "run").select("_id", "_h", (F.col("first") + F.col("a")).alias("lo"), (F.col("first") + F.col("b") + length).alias("hi"))
-    return spans[0].union(fine).groupBy("_id", "_h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return _merged(spans[0].union(fine))
 
 
-def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The union of ranges, as ranges that don't touch."""
-    order = np.argsort(lo, kind="stable")
-    lo, reach = lo[order], np.maximum.accumulate(hi[order])
-    new = np.r_[True, lo[1:] > reach[:-1]]
-    return lo[new], reach[np.r_[new[1:], True]]
+def _merged(ranges: DataFrame) -> DataFrame:
+    """(_id, _h, spans) from rows (_id, _h, lo, hi): the union of each text's ranges, as ranges that don't touch."""
+    text = Window.partitionBy("_id", "_h").orderBy("lo")
+    before = F.max("hi").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    marked = ranges.withColumn("new", F.coalesce(F.col("lo") > before, F.lit(True)).cast("int"))
+    whole = marked.withColumn("run", F.sum("new").over(text)).groupBy("_id", "_h", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return whole.groupBy("_id", "_h").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
 
-def dedup(documents: DataFrame, length: int = 400, as_text: bool = False) -> DataFrame:
-    """``documents`` (text excepted) with n_bytes, spans (the removed ranges of bytes, merged) and kept (other bytes).
+def within(keyed: DataFrame, spans: DataFrame, length: int) -> DataFrame:
+    """What ``repeated`` gives for ``length``, looked for only in ``spans``, the runs that a smaller length gave.
 
-    Bytes are those of the text in UTF-8; a null text is empty. Texts shorter than ``length`` keep all. Rows that
-    repeat a text remove each other's, an exact copy in full. Every row returns; columns so named are replaced.
-    Spans are found with 128-bit keys of two 64-bit hashes of the bytes. With ``as_text``, kept is a string: where a
-    span ends within a character, what is left of the character goes too.
+    A repeated window lies within one of those runs, since each shorter window in it repeats too. Only runs of
+    ``length`` bytes and more are cut out and searched, as texts of their own.
     """
-    rest = [c for c in documents.columns if c not in ("text", "n_bytes", "spans", "kept", "_id", "_h", "_bytes", "z")]
-    keyed = _keyed(documents.select(*rest, "text"))
-    found = common.Written(repeated(documents, length)).df
-    texts = _squeezed(keyed.select(*rest, "_id", "_h", "_bytes"))
-    joined = texts.join(found, ["_id", "_h"], "left").select(*rest, "z", "spans")
-    out = T.StructType([*documents.select(*rest).schema.fields, *T._parse_datatype_string("n_bytes long, spans array<struct<lo:int,hi:int>>").fields, T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
+    long = spans.withColumn("spans", F.filter("spans", lambda s: s["hi"] - s["lo"] >= length)).where("size(spans) > 0")
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text, held = unpress.decompress(batch.column("z")[i].as_py()), batch.column("spans")[i].values
+                lo, hi = held.field("lo"), held.field("hi")
+                ids = [pa.array(np.full(len(lo), batch.column(c)[i].as_py(), dtype=np.int64)) for c in ("_id", "_h")]
+                yield pa.RecordBatch.from_arrays([*ids, lo, pa.array([text[a:b] for a, b in zip(lo.to_pylist(), hi.to_pylist(), strict=True)], pa.binary())], ["_id", "_h", "lo", "_bytes"])
+
+    cut = _squeezed(keyed.select("_id", "_h", "_bytes")).join(long, ["_id", "_h"]).select("_id", "_h", "z", "spans").mapInArrow(cut_out, "_id long, _h long, lo int, _bytes binary")
+    parts = common.Written(cut.withColumn("_text", F.col("_h")).withColumn("_h", F.xxhash64("_text", "lo"))).df
+    places = parts.select("_id", "_h", "_text", "lo").distinct()
+    found = repeated(parts.select("_id", "_h", "_bytes"), length).join(places.withColumnRenamed("lo", "at"), ["_id", "_h"])
+    moved = F.transform("spans", lambda s: F.struct((s["lo"] + F.col("at")).alias("lo"), (s["hi"] + F.col("at")).alias("hi")))
+    # runs of one text don't touch, so theirs don't either
+    return found.withColumn("spans", moved).groupBy("_id", F.col("_text").alias("_h")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
+SPANS = "array<struct<lo:int,hi:int>>"
+
+
+def _cut(documents: DataFrame, columns: dict[str, DataFrame], removed: str, as_text: bool, words: int | None = None, enough: int = 0) -> DataFrame:
+    """``documents`` (text excepted) with n_bytes, the spans of each of ``columns`` and kept, the bytes out of ``removed``.
+
+    With ``words``, runs of the first of ``columns`` count only if they hold so many words or ``enough`` bytes.
+    """
+    names = list(columns)
+    own = ["n_bytes", *names, "kept"]
+    rest = [c for c in documents.columns if c not in ("text", "_id", "_h", "_bytes", "z", *own)]
+    texts = _squeezed(_keyed(documents.select(*rest, "text")).select(*rest, "_id", "_h", "_bytes"))
+    for name, spans in columns.items():
+        texts = texts.join(spans.withColumnRenamed("spans", name), ["_id", "_h"], "left")
+    kept_type = T.StringType() if as_text else T.BinaryType()
+    out = T.StructType([*documents.select(*rest).schema.fields, T.StructField("n_bytes", T.LongType()), *[T.StructField(c, T._parse_datatype_string(SPANS)) for c in columns], T.StructField("kept", kept_type)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
         kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
         for batch in batches:
-            sizes, spans, kept = [], [], []
+            sizes, found, kept = [], {c: [] for c in names}, []
             for i in range(batch.num_rows):
-                text, held = unpress.decompress(batch.column("z")[i].as_py()), batch.column("spans")[i]
+                text = unpress.decompress(batch.column("z")[i].as_py())
                 sizes.append(len(text))
-                if not held.is_valid:
-                    spans.append([])
-                    kept.append(text)
-                    continue
-                lo, hi = merged(*(np.asarray(held.values.field(f)).astype(np.int64) for f in ("lo", "hi")))
-                spans.append([{"lo": a, "hi": b} for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
-                kept.append(b"".join(text[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(text)], strict=True)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], [*rest, "n_bytes", "spans", "kept"])
+                for c in names:
+                    spans = batch.column(c)[i].as_py() or []
+                    if words is not None and c == names[0]:
+                        spans = [s for s in spans if s["hi"] - s["lo"] >= enough or len(text[s["lo"] : s["hi"]].split()) >= words]
+                    found[c].append(spans)
+                gone = found[removed][-1]
+                kept.append(b"".join(text[a:b] for a, b in zip([0, *(s["hi"] for s in gone)], [*(s["lo"] for s in gone), len(text)], strict=True)) if gone else text)
+            left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(sizes, pa.int64()), *(pa.array(found[c], kind) for c in names), left], [*rest, *own])
 
-    return joined.mapInArrow(run, out)
+    return texts.select(*rest, "z", *columns).mapInArrow(run, out)
+
+
+def dedup(documents: DataFrame, length: int = 400, as_text: bool = False) -> DataFrame:
+    """``documents`` (text excepted) with n_bytes, spans (the removed ranges of bytes, merged) and kept (other bytes).
+
+    Bytes are those of the text in UTF-8; a null text is empty. Texts shorter than ``length`` keep all. Rows that
+    repeat a text remove each other's, an exact copy in full. Every row returns; columns so named are replaced.
+    Spans are found with 128-bit keys of two 64-bit hashes of the bytes. With ``as_text``, kept is a string: where a
+    span ends within a character, what is left of the character goes too.
+    """
+    found = common.Written(repeated(_keyed(documents.select("doc_id", "text")), length)).df
+    return _cut(documents, {"spans": found}, "spans", as_text)
+
+
+def dedup_passages(documents: DataFrame, least: int = 200, words: int = 51, enough: int = 400, as_text: bool = False) -> DataFrame:
+    """``documents`` without their repeated passages: as ``dedup``, with passages in place of spans.
+
+    A passage is a run of bytes covered by strings of ``least`` bytes that repeat, if it holds ``words`` words (parts
+    at its ends count) or ``enough`` bytes. Shorter runs, such as a formula of a few dozen words, stay.
+    """
+    found = common.Written(repeated(_keyed(documents.select("doc_id", "text")), least)).df
+    return _cut(documents, {"passages": found}, "passages", as_text, words, enough)
+
+
+def dedup_both(documents: DataFrame, length: int = 400, least: int = 200, words: int = 51) -> DataFrame:
+    """What ``dedup`` gives for ``length``, and the passages that ``dedup_passages`` would remove, in one search.
+
+    Strings of ``length`` bytes are looked for only where those of ``least`` bytes, fewer than ``length``, repeat.
+    """
+    keyed = _keyed(documents.select("doc_id", "text")).select("_id", "_h", "_bytes")
+    short = common.Written(repeated(keyed, least)).df
+    found = common.Written(within(keyed, short, length)).df
+    return _cut(documents, {"passages": short, "spans": found}, "spans", False, words, length)
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = common.documents(spark, sf_dir).select("doc_id", "text")
-    found = dedup(documents)
+    found = dedup_both(documents)
     removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    size = lambda c: F.size(c).cast("long")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), size("spans").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), size("passages").alias("n_passages"))
