@@ -3,18 +3,14 @@
 from datetime import datetime
 
 import numpy as np
-import pandas as pd
 import pytest
-from hypothesis import given
-from hypothesis import strategies as st
 
-from tidemark.functions import codec, text
+from tidemark.functions import text
 from tidemark.functions.murmur import murmur3
 from tidemark.operators import cluster, replicas
 from tidemark.operators import points as P
 from tidemark.operators import rollup as R
 from tidemark.plans.request import Request, answer, check_range, samples
-from tidemark.sources import segments
 from tidemark.sources.points import stored
 from tidemark.sources.text import parse_log, read_log
 from tidemark.streaming import live
@@ -103,37 +99,51 @@ def test_torn_log(spark, tmp_path):
     assert parse_log(lines).count() == 1
 
 
-@given(st.lists(st.integers(-(2**62), 2**62), max_size=40))
-def test_integers_round_trip(values):
-    v = np.array(values, dtype=np.int64)
-    assert (codec.decode_ints(codec.encode_ints(v), len(v)) == v).all()
-
+@pytest.mark.parametrize(("dod", "bits"), [(0, 1), (-64, 9), (63, 9), (-65, 12), (64, 12), (-256, 12), (255, 12), (-257, 16), (256, 16), (-2048, 16), (2047, 16), (2048, 68)])
+def test_bits_of_each_class(spark, dod, bits):
+    # the third time lies in another day than the first two
+    df = spark.createDataFrame([(i, "d", "m", 86_390 + ts, 1.0) for i, ts in enumerate((0, 9, 18 + dod)) if dod >= 0] or [(i, "d", "m", 90_000 + ts, 1.0) for i, ts in enumerate((0, 5_000, 10_000 + dod))], COLUMNS)
+    assert [r.bits for r in P.coded_bits(df).collect()] == [128 + bits]
 
-@given(st.lists(st.floats(allow_nan=False), max_size=40))
-def test_floats_round_trip(values):
-    v = np.array(values, dtype=float)
-    assert (codec.decode_floats(codec.encode_floats(v), len(v)).view(np.int64) == v.view(np.int64)).all()
 
-
-@pytest.mark.parametrize(("dod", "bits"), [(0, 1), (-64, 9), (63, 9), (-65, 12), (64, 12), (-256, 12), (255, 12), (-257, 16), (256, 16), (-2048, 16), (2047, 16), (2048, 68)])
-def test_bits_of_each_class(dod, bits):
-    assert len(codec.encode_ints(np.array([0, 10, 20 + dod]))) == -(-(128 + bits) // 8)
+def test_numbered_series(spark):
+    times = sorted(np.random.default_rng(3).choice(10_000_000, 300, replace=False).tolist())
+    df = spark.createDataFrame([(i, "d", "m", t, 1.0) for i, t in enumerate(times)] + [(0, "e", "m", 7, 1.0)], COLUMNS)
+    got = {(r.device_id, r.timestamp): (r.place, r.before) for r in P.numbered(df).collect()}
+    assert got == {("e", 7): (0, [])} | {("d", t): (i, times[max(i - 2, 0) : i]) for i, t in enumerate(times)}
 
 
 def test_murmur():
     assert murmur3([b"hello", b""]).tolist() == [0x248BFA47, 0]
 
 
-def test_segment_round_trip_and_damage(spark, tmp_path):
-    pdf = pd.DataFrame({"timestamp": [1, 2, 5], "value": [1.0, 1.0, -2.5], "device_id": ["a:b"] * 3, "metric_name": ["é"] * 3})
-    raw = segments.pack(pdf)
-    assert segments.unpack(raw)[pdf.columns].equals(pdf)
-    (tmp_path / "x.parq").write_bytes(raw)
-    (tmp_path / "y.parq").write_bytes(raw[:40] + b"\xff" + raw[41:])
-    files = segments.read_files(spark, str(tmp_path))
-    assert segments.points_of(files, skip_damaged=True).count() == 3
-    with pytest.raises(ValueError):
-        segments.unpack(raw[:40] + b"\xff" + raw[41:])
+def test_ring_lookup_equals_a_walk(spark):
+    from pyspark.sql import functions as F
+
+    nodes = ["a", "b", "c", "d"]
+    places = {}
+    for node in nodes:
+        places |= dict.fromkeys(murmur3([f"{node}#{i}".encode() for i in range(replicas.VIRTUAL_NODES)]).tolist(), node)
+    ring = sorted(places.items())
+
+    def walk(key, n):
+        h, found = int(murmur3([key.encode()])[0]), []
+        at = next((i for i, (p, _) in enumerate(ring) if p >= h), 0)
+        for i in range(len(ring)):
+            node = ring[(at + i) % len(ring)][1]
+            if node not in found:
+                found.append(node)
+        return found[:n]
+
+    keys = spark.range(3_000).select(F.concat(F.lit("k:"), "id").alias("series_key"))
+    for n in (1, 3, 9):
+        got = replicas.placement(keys, nodes, n).collect()
+        assert len(got) == 3_000 and all(r.owners == walk(r.series_key, n) for r in got)
+    edges = spark.createDataFrame([(p, x) for p, _ in ring[:3] + ring[-3:] for x in (p - 1, p, p + 1)], "place long, h long")
+    table = replicas.stretches(spark, nodes, 1)
+    near = edges.crossJoin(table).where("h > after AND h <= upto").select("h", "after", "upto").distinct()
+    assert near.count() == edges.select("h").distinct().count()
+    assert replicas.stretches(spark, [], 2).count() == 0
 
 
 def test_names(spark):
@@ -207,7 +217,85 @@ def test_replay_twice_is_once(spark, tmp_path):
     assert live.appended(live.once(live.incoming(spark, src, 1))).count() == 20
 
 
-def test_simulated_sensors(spark):
-    from tidemark.sources.text import simulated
+def test_stored_times_are_delta_coded(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from tidemark.operators import table as stored_table
+
+    path = tmp_path / "t"
+    stored_table.append(spark.createDataFrame([(i, "d", "m", 10 * i, 1.0) for i in range(200)], COLUMNS), str(path))
+    found = [pq.ParquetFile(f).metadata for f in path.glob("*.parquet")]
+    columns = [m.row_group(0).column(i) for m in found if m.num_row_groups for i in range(5)]
+    assert columns and all("DELTA_BINARY_PACKED" in c.encodings for c in columns if c.path_in_schema in ("timestamp", "seq"))
+
+
+def test_first_wins_is_a_hash_aggregate(spark):
+    from tidemark.sources.points import events, shipments
+
+    from .conftest import DATA
+
+    for t in (events(spark, DATA), shipments(spark, DATA)):
+        plan = P.first_wins(t.points())._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "Sort" not in plan.replace("ObjectHashAggregate", "")
+
+
+def test_statistics_do_not_sort(spark):
+    from tidemark.plans.request import statistics
+    from tidemark.sources.points import events
+
+    from .conftest import DATA
+
+    plan = statistics(events(spark, DATA), Request("sensor_8", "click"))._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "rangepartitioning" not in plan
 
-    assert simulated(spark).isStreaming
+
+def test_null_order_comes_last_and_rows_are_not_mixed(spark):
+    df = spark.createDataFrame([(None, "d", "m", 1, 1.0), (5, "d", "m", 1, 2.0), (None, "d", "m", 2, 3.0)], COLUMNS)
+    assert sorted((r.timestamp, r.seq, r.value) for r in P.first_wins(df).collect()) == [(1, 5, 2.0), (2, None, 3.0)]
+    from pyspark.sql import functions as F
+
+    wide = spark.createDataFrame([(1, "d", "m", 1, 1.0), (1, "d", "m", 1, 2.0)], COLUMNS).withColumn("copy", F.col("value"))
+    assert [r.copy == r.value for r in P.first_wins(wide).collect()] == [True]
+
+
+def test_huge_bounds(spark):
+    from tidemark.sources.points import events
+
+    from .conftest import DATA
+
+    t = events(spark, DATA)
+    assert t.range(-(10**15), 10**13).points().count() == t.points().count()
+
+
+def test_latest_goes_on_after_a_restart(spark, tmp_path):
+    df = spark.createDataFrame([(i, "d", "m", i + 1, 1.0) for i in range(30)], COLUMNS)
+    src, to = str(tmp_path / "in"), str(tmp_path / "to")
+    df.where("seq >= 10").coalesce(1).write.mode("append").parquet(src)
+    assert live.latest(live.incoming(spark, src), 15, to).count() == 15
+    df.where("seq < 10").coalesce(1).write.mode("append").parquet(src)
+    assert sorted(r.seq for r in live.latest(live.incoming(spark, src), 25, to).collect()) == list(range(0, 10)) + list(range(15, 30))
+    assert sorted(r.seq for r in live.latest(live.incoming(spark, src), 25, to).collect()) == list(range(0, 10)) + list(range(15, 30))
+
+
+def test_tombstones(spark, tmp_path):
+    from tidemark.operators.tombstones import Tombstones
+
+    marks = Tombstones(spark, str(tmp_path / "marks"))
+    assert marks.current().count() == 0 and not marks.has("d", "m")
+    one = spark.createDataFrame([("d", "m"), ("d", "m")], "device_id string, metric_name string")
+    marks.write(one, 1)
+    assert marks.has("d", "m") and marks.current().count() == 1
+    marks.remove(one, 1)
+    assert not marks.has("d", "m")
+    marks.write(one, 2)
+    assert [r.deleted_at for r in marks.current().collect()] == [2]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from tidemark import session
+
+    cluster_ = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        session.shared_dir(cluster_)

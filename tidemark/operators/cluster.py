@@ -18,6 +18,21 @@ def latest(states: DataFrame, key: str, newest: tuple[str, ...]) -> DataFrame:
     return states.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*newest)).alias("_s")).select(key, "_s.*")
 
 
+def merged(local: DataFrame, received: DataFrame, sender: str, now: int) -> DataFrame:
+    """Local node rows after a state from ``sender``: the newer heartbeat of each node wins, and the sender is active now.
+
+    An equal heartbeat leaves the local row. A known node keeps its port, of which heartbeats tell nothing. A sender
+    that neither side knows adds no row.
+    """
+    theirs = received.select("id", *[F.col(c).alias(f"_{c}") for c in received.columns if c != "id"])
+    both = local.join(theirs, "id", "full_outer")
+    newer = F.col("last_heartbeat").isNull() | (F.col("_last_heartbeat") > F.col("last_heartbeat"))
+    chosen = {c: F.when(newer, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("address", "last_heartbeat", "status")}
+    chosen["http_port"] = F.coalesce("http_port", "_http_port")
+    told = {"last_heartbeat": F.lit(now).cast("long"), "status": F.lit("active")}
+    return both.select("id", *[(F.when(F.col("id") == sender, told[c]).otherwise(x) if c in told else x).alias(c) for c, x in chosen.items()]).select(*local.columns)
+
+
 def detected(nodes: DataFrame, now: int) -> DataFrame:
     """Status by age of the last heartbeat: down after 5 silent intervals, an active node suspect after 2."""
     age = F.lit(now) - F.col("last_heartbeat")

@@ -31,6 +31,11 @@ def normalized(points: DataFrame) -> DataFrame:
     return placed.select(*points.columns, x.alias("x"), y.alias("y"))
 
 
+def plotted(points: DataFrame) -> DataFrame:
+    """`normalized` in the order a line is drawn: by series, then time, then arrival."""
+    return normalized(points).orderBy(*SERIES, "timestamp", "seq")
+
+
 def latest(points: DataFrame, n: int = 100) -> DataFrame:
     return points.orderBy(F.desc("seq")).limit(n)
 

@@ -2,59 +2,58 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.murmur import murmur3
+from ..functions.murmur import murmur3_of
 from ..schema import SERIES
 from .table import checksum
 
-VIRTUAL_NODES = 150
-
-
-class Ring:
-    """Consistent hashing: every node has ``VIRTUAL_NODES`` places; of places that collide the later node's counts."""
-
-    def __init__(self, nodes: list[str], virtual: int = VIRTUAL_NODES):
-        places: dict[int, str] = {}
-        for node in nodes:
-            for h in murmur3([f"{node}#{i}".encode() for i in range(virtual)]).tolist():
-                places[h] = node
-        self.hashes = sorted(places)
-        self.nodes = [places[h] for h in self.hashes]
-        self.count = len(set(self.nodes))
-
-    def owners(self, hashed: int, n: int) -> list[str]:
-        """The first ``n`` different nodes clockwise from the first place not before the key's hash."""
-        found: dict[str, None] = {}
-        at = bisect_left(self.hashes, hashed)
-        for i in range(len(self.nodes)):
-            if len(found) == min(n, self.count):
-                break
-            found.setdefault(self.nodes[(at + i) % len(self.nodes)])
-        return list(found)
+#: Places of each node on the ring, and equal stretches that the ring is cut into for lookups.
+VIRTUAL_NODES, STRETCH_BITS = 150, 12
 
 
-def placement(key: Column, nodes: list[str], n: int) -> Column:
-    """The ``n`` owners of a series key, as an array. The ring is small: it is sent with the function."""
-    ring = Ring(nodes)
-
-    @F.pandas_udf("array<string>")
-    def owners(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([ring.owners(h, n) for h in murmur3([(x or "").encode() for x in s]).tolist()])
+def ring_places(spark: SparkSession, nodes: list[str], virtual: int = VIRTUAL_NODES) -> DataFrame:
+    """(place, node): where each node's virtual nodes hash to; of places that collide the later node's counts."""
+    given = spark.createDataFrame(list(enumerate(nodes)), "turn int, node string")
+    named = given.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(virtual - 1))))
+    placed = named.withColumn("place", murmur3_of(F.concat_ws("#", "node", "i")))
+    return placed.groupBy("place").agg(F.max_by("node", F.struct("turn", "i")).alias("node"))
 
-    return owners(key)
 
+def stretches(spark: SparkSession, nodes: list[str], n: int, virtual: int = VIRTUAL_NODES) -> DataFrame:
+    """(stretch, after, upto, owners): keys that hash above ``after`` and up to ``upto`` have these ``n`` owners.
 
-def ring_places(spark: SparkSession, nodes: list[str], virtual: int = VIRTUAL_NODES) -> DataFrame:
-    ring = Ring(nodes, virtual)
-    return spark.createDataFrame(list(zip(ring.hashes, ring.nodes, strict=True)), "place long, node string")
+    The owners are the first different nodes clockwise from the first place not before the hash. Every row lies in one
+    of 4,096 stretches of the ring, so that a key finds its row by an equality and a comparison. The table has a row for
+    each place and stretch at most, whatever the number of keys.
+    """
+    places = sorted((r.place, r.node) for r in ring_places(spark, nodes, virtual).collect())  # 150 for each node
+    owners: list[str] = []
+    rows = []
+    for place, node in [*places, *places][::-1]:  # twice round, backwards: the first round ends with full lists
+        owners = [node, *[x for x in owners if x != node]][:n]
+        rows.append((place, owners))
+    rows = rows[len(places) :][::-1]
+    lows = [-1, *[p for p, _ in rows]]
+    parts = [(lows[i], p, own) for i, (p, own) in enumerate(rows)]
+    if rows:
+        parts.append((lows[-1], (1 << 32) - 1, rows[0][1]))  # beyond the last place the first one follows
+    table = spark.createDataFrame(parts, "after long, upto long, owners array<string>").where("after < upto")
+    shift = 32 - STRETCH_BITS
+    spread = F.explode(F.sequence(F.shiftright(F.col("after") + 1, shift), F.shiftright("upto", shift)))
+    return table.withColumn("stretch", spread)
+
+
+def placement(keys: DataFrame, nodes: list[str], n: int) -> DataFrame:
+    """``keys`` (series_key and further columns) with owners, the ``n`` nodes that hold each, in order.
+
+    A lookup by range on the ring: its table, bounded by nodes and stretches, is broadcast.
+    """
+    ring = F.broadcast(stretches(keys.sparkSession, nodes, n))
+    hashed = keys.withColumn("_hash", murmur3_of(F.col("series_key"))).withColumn("stretch", F.shiftright("_hash", 32 - STRETCH_BITS))
+    found = hashed.join(ring, "stretch").where((F.col("_hash") > F.col("after")) & (F.col("_hash") <= F.col("upto")))
+    return found.select(*keys.columns, "owners")
 
 
 def best_count(stats: DataFrame, quorum: int = 1) -> DataFrame:
@@ -99,6 +98,7 @@ def repair(local: DataFrame, peer: DataFrame) -> DataFrame:
 
 def moved(keys: DataFrame, before: list[str], after: list[str], n: int) -> DataFrame:
     """Keys whose owners change with the nodes: (series_key, gained, lost)."""
-    placed = keys.select("series_key", placement(F.col("series_key"), before, n).alias("_b"), placement(F.col("series_key"), after, n).alias("_a"))
+    old = placement(keys.select("series_key"), before, n).withColumnRenamed("owners", "_b")
+    placed = placement(old, after, n).withColumnRenamed("owners", "_a")
     changes = placed.select("series_key", F.array_except("_a", "_b").alias("gained"), F.array_except("_b", "_a").alias("lost"))
     return changes.where((F.size("gained") > 0) | (F.size("lost") > 0))

@@ -12,12 +12,14 @@ from . import points as P
 def append(points: DataFrame, path: str, buckets: int = 16) -> None:
     """Add points, sorted by series and time within files, so that row groups can be skipped by either.
 
-    Rows are dealt by a hash of the series and the hour, so that one very large series is written by many tasks.
+    Rows are dealt by a hash of the series and the hour, so that one very large series is written by many tasks. Times
+    and arrivals are written as differences (Parquet's delta encoding) and not by dictionary.
     """
     names = [f.name for f in ARRIVED]
     hour = F.floor(F.col("timestamp") / 3_600)
     placed = points.select(*names).repartition(buckets, *SERIES, hour).sortWithinPartitions(*SERIES, "timestamp", "seq")
-    placed.write.mode("append").option("compression", "zstd").parquet(path)
+    coded = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#timestamp": "false", "parquet.enable.dictionary#seq": "false"}
+    placed.write.mode("append").options(**coded).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

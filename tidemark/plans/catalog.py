@@ -4,18 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.codec import encode_ints
 from ..functions.murmur import murmur3_of
-from ..operators import cluster, display, replicas, table
+from ..operators import cluster, display, replicas, table, tombstones
 from ..operators import points as P
 from ..operators import rollup as R
-from ..schema import SERIES
+from ..schema import LOG_ENTRY, SERIES
 from ..session import fresh_dir
 from ..sources import segments, text
 from ..sources.points import events, shipments
@@ -303,7 +300,7 @@ def key_hash(spark, sf):
 
 @query()
 def ring_placement(spark, sf):
-    return P.keys(E_(spark, sf)).select("series_key", replicas.placement(F.col("series_key"), NODES, 3).alias("owners"))
+    return replicas.placement(P.keys(E_(spark, sf)), NODES, 3)
 
 
 @query()
@@ -344,7 +341,7 @@ def axis_ticks(spark, sf):
 
 @query(f"SELECT seq, round((timestamp - t0) / t1::DOUBLE, 6) AS x, round((value - v0) / v1, 6) AS y FROM {E} JOIN (SELECT device_id, metric_name, min(timestamp) AS t0, CASE WHEN max(timestamp) = min(timestamp) THEN 1 ELSE max(timestamp) - min(timestamp) END AS t1, min(value) AS v0, CASE WHEN max(value) = min(value) THEN 1 ELSE max(value) - min(value) END AS v1 FROM {E} GROUP BY ALL) USING (device_id, metric_name)")
 def plot_points(spark, sf):
-    return rounded(display.normalized(E_(spark, sf)).select("seq", "x", "y"), 6)
+    return rounded(display.plotted(E_(spark, sf)).select("seq", "x", "y"), 6)
 
 
 @query("SELECT DISTINCT 'sensor_' || user_id AS device_id, 'Sensor ' || user_id AS device_label, event_type AS metric_name, upper(event_type[1]) || event_type[2:] AS metric_label FROM events")
@@ -465,31 +462,89 @@ def segment_names(spark, sf):
 
 @query(f"SELECT device_id, metric_name, timestamp, value FROM {E}")
 def segment_roundtrip(spark, sf):
-    return segments.points_of(segments.segments(E_(spark, sf), rows=10))
+    return segments.round_trip(E_(spark, sf), fresh_dir(spark, "table")).drop("seq")
 
 
 @query("WITH d AS (SELECT device_id, metric_name, row_number() OVER w AS r, timestamp - 2 * lag(timestamp) OVER w + lag(timestamp, 2) OVER w AS dod FROM " + E + " WINDOW w AS (PARTITION BY device_id, metric_name ORDER BY timestamp)) SELECT device_id, metric_name, CAST(ceil(sum(CASE WHEN r <= 2 THEN 64 WHEN dod = 0 THEN 1 WHEN dod BETWEEN -64 AND 63 THEN 9 WHEN dod BETWEEN -256 AND 255 THEN 12 WHEN dod BETWEEN -2048 AND 2047 THEN 16 ELSE 68 END) / 8.0) AS BIGINT) AS bytes FROM d GROUP BY ALL")
 def codec_sizes(spark, sf):
-    @F.pandas_udf("long")
-    def size(times: pd.Series) -> pd.Series:
-        return pd.Series([len(encode_ints(np.asarray(t))) for t in times])
+    return P.coded_bits(E_(spark, sf)).select(*SERIES, F.ceil(F.col("bits") / 8).cast("long").alias("bytes"))
 
-    by_chunk = E_(spark, sf).groupBy(*SERIES).agg(F.array_sort(F.collect_list("timestamp")).alias("t"))
-    return by_chunk.select(*SERIES, size("t").alias("bytes"))
+
+@query("WITH d AS (SELECT device_id, metric_name, value, lag(value) OVER (PARTITION BY device_id, metric_name, timestamp // 86400 ORDER BY timestamp) AS before FROM (SELECT device_id, metric_name, timestamp, round(value / 100) AS value FROM " + E + ")) SELECT device_id, metric_name, sum(CASE WHEN before IS NULL THEN 64 WHEN before = value THEN 1 ELSE 66 END)::BIGINT AS bits FROM d GROUP BY ALL")
+def value_sizes(spark, sf):
+    return P.value_bits(E_(spark, sf).withColumn("value", F.round(F.col("value") / 100)))
 
 
 @query(f"SELECT device_id || ':' || metric_name AS series_key, count(*) AS count FROM {E} GROUP BY ALL")
 def segment_digests(spark, sf):
-    files = segments.segments(E_(spark, sf))
-    named = segments.digests(files).join(segments.listing(files), "name")
-    return named.groupBy("series_key").agg(F.sum("count").alias("count"))
+    path = fresh_dir(spark, "table")
+    table.append(E_(spark, sf), path)
+    return segments.digests(spark, path).groupBy(X.series_key(F.col("device_id"), F.col("metric_name")).alias("series_key")).agg(F.sum("count").alias("count"))
+
+
+@query(f"SELECT device_id, metric_name, {DIGEST} FROM {E} GROUP BY ALL")
+def segment_checksums(spark, sf):
+    """The checksums of a series' files add up to that of its points, however they are divided."""
+    path = fresh_dir(spark, "table")
+    table.append(E_(spark, sf), path)
+    return segments.digests(spark, path).groupBy(*SERIES).agg(F.sum("count").alias("count"), F.sum("checksum").cast("decimal(38,0)").cast("string").alias("checksum"))
+
+
+@query(f"SELECT seq, device_id, metric_name, timestamp, value FROM {E} WHERE (metric_name <> 'error' AND seq % 4 <> 3) OR (metric_name = 'error' AND seq % 4 = 3)")
+def delete_compact_write(spark, sf):
+    path = fresh_dir(spark, "deletion")
+    e, marks = E_(spark, sf), tombstones.Tombstones(spark, f"{path}/marks")
+    gone = e.where("metric_name = 'error'").select(*SERIES).distinct()
+    tombstones.append_alive(e.where("seq % 4 = 0"), f"{path}/raw", marks)
+    pending = tombstones.delete(gone, marks, 1, e.where("seq % 4 = 1"))
+    table.append(pending, f"{path}/raw")
+    tombstones.append_alive(e.where("seq % 4 = 2"), f"{path}/raw", marks)  # what is posted of a deleted series is dropped
+    tombstones.compact(spark, f"{path}/raw", f"{path}/new", marks, 2)
+    tombstones.append_alive(e.where("seq % 4 = 3 AND metric_name = 'error'"), f"{path}/new", marks)
+    return table.read(spark, f"{path}/new")
+
+
+@query(f"SELECT DISTINCT device_id, metric_name, 5::BIGINT AS deleted_at FROM {E} WHERE metric_name = 'view'")
+def tombstone_store(spark, sf):
+    marks = tombstones.Tombstones(spark, fresh_dir(spark, "marks"))
+    series = E_(spark, sf).select(*SERIES).distinct()
+    marks.write(series.where("metric_name IN ('error', 'view')"), 3)
+    marks.remove(series.where("metric_name = 'error'"), 4)
+    marks.write(series.where("metric_name = 'view'"), 5)
+    return marks.current()
+
+
+@query(f"SELECT id, address, http_port, CASE WHEN id = 'node5' THEN {NOW} + 9 WHEN n % 2 = 0 THEN {NOW} + 1 ELSE {NOW} - n END AS last_heartbeat, CASE WHEN id = 'node5' THEN 'active' WHEN n % 2 = 0 THEN 'suspect' WHEN n % 6 = 5 THEN 'down' ELSE 'active' END AS status FROM (SELECT 'node' || n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN '10.9.0.' ELSE '10.0.0.' END || n_nationkey AS address, (8080 + n_nationkey)::INT AS http_port, n_nationkey AS n FROM nation) UNION ALL SELECT 'router1', '10.0.1.1', 8000, {NOW}, 'active'")
+def gossip_merge(spark, sf):
+    n = F.col("n_nationkey")
+    newer = spark.read.parquet(f"{sf}/nation.parquet").where(n % 2 == 0).select(F.concat(F.lit("node"), n).alias("id"), F.concat(F.lit("10.9.0."), n).alias("address"), F.lit(9).alias("http_port"), F.lit(NOW + 1).cast("long").alias("last_heartbeat"), F.lit("suspect").alias("status"))
+    older = nodes(spark, sf).where("id IN ('node1', 'node5')").withColumn("last_heartbeat", F.col("last_heartbeat").cast("long") - 5).withColumn("status", F.lit("down"))
+    local = nodes(spark, sf).withColumn("last_heartbeat", F.col("last_heartbeat").cast("long"))
+    return cluster.merged(local, newer.unionByName(older), "node5", NOW + 9)
+
+
+@query("SELECT 3::BIGINT AS peers, 3::BIGINT AS different, 0::BIGINT AS inactive")
+def random_peer_count(spark, sf):
+    known = cluster.active(nodes(spark, sf)).select("id", F.lit(True).alias("known"))
+    drawn = random_peers(spark, sf).select("id").join(known, "id", "left")
+    return drawn.agg(F.count("*").alias("peers"), F.count_distinct("id").alias("different"), F.count_if(F.col("known").isNull()).alias("inactive"))
+
+
+@query("SELECT event_id AS seq, printf('%.4f', value / 3) AS four, printf('%.2f', value / 3) AS two FROM events")
+def fixed_decimals(spark, sf):
+    return E_(spark, sf).select("seq", X.fixed(F.col("value") / 3, 4).alias("four"), X.fixed(F.col("value") / 3, 2).alias("two"))
+
+
+@query(f"SELECT DISTINCT device_id, CASE device_id WHEN 'sensor_1' THEN '#4CAF50' WHEN 'sensor_2' THEN '#2196F3' WHEN 'sensor_3' THEN '#FF9800' ELSE '#9E9E9E' END AS colour FROM {E}")
+def device_colours(spark, sf):
+    return E_(spark, sf).select("device_id").distinct().select("device_id", X.device_colour(F.col("device_id")).alias("colour"))
 
 
 def _landed(spark, sf, parts: int = 4) -> str:
     path = fresh_dir(spark, "incoming")
     e = E_(spark, sf)
     for part in range(parts):
-        e.where(F.col("seq") % parts == part).coalesce(1).write.mode("append").parquet(path)
+        e.where(F.col("seq") % parts == part).write.mode("append").parquet(path)
     return path
 
 
@@ -511,8 +566,8 @@ def stream_latest_100(spark, sf):
 @query(f"SELECT count(*) AS points, count(DISTINCT (device_id, metric_name, timestamp)) AS different FROM {E}")
 def stream_once(spark, sf):
     path = _landed(spark, sf, 1)
-    E_(spark, sf).coalesce(1).write.mode("append").parquet(path)  # all of it again
-    got = live.appended(live.once(live.incoming(spark, path, 2), "60 days"))
+    E_(spark, sf).write.mode("append").parquet(path)  # all of it again
+    got = live.appended(live.once(live.incoming(spark, path, 64), "60 days"))
     return got.agg(F.count("*").alias("points"), F.count_distinct(*SERIES, "timestamp").alias("different"))
 
 
@@ -523,6 +578,17 @@ def stream_ingest(spark, sf):
     return table.read(spark, f"{to}/data")
 
 
+@query(f"SELECT device_id, metric_name, timestamp, value, CASE WHEN seq % 2 = 0 THEN 'primary' ELSE 'replica' END AS role FROM {E}")
+def stream_feed(spark, sf):
+    to = fresh_dir(spark, "table")
+    posted = E_(spark, sf).withColumn("role", F.when(F.col("seq") % 2 == 0, "primary").otherwise("replica"))
+    for part in (0, 1):
+        posted.where(F.floor(F.col("seq") / 2) % 2 == part).write.mode("append").parquet(f"{to}/in")
+    live.published(live.incoming(spark, f"{to}/in", 1, role=True), f"{to}/data", f"{to}/feed", f"{to}/log").awaitTermination()
+    stored = table.read(spark, f"{to}/data").select(*SERIES, "timestamp")
+    return spark.read.schema(LOG_ENTRY).json(f"{to}/feed").select(*LOG_ENTRY.names).join(stored, [*SERIES, "timestamp"], "left_semi").select(*LOG_ENTRY.names)
+
+
 @query(f"SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type AS metric_name, count(*) AS points, round(avg(value), 4) AS average FROM events GROUP BY ALL")
 def daily_buckets(spark, sf):
     raw = spark.read.parquet(f"{sf}/events.parquet")

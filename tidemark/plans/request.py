@@ -46,22 +46,27 @@ def check_range(start: int, end: int, now: int) -> None:
         raise ValueError("times must not be in the future")
 
 
-def samples(table: PointTable, r: Request, tombstones: DataFrame | None = None) -> DataFrame:
-    """(timestamp, value) in order of time, each time once."""
+def found(table: PointTable, r: Request, tombstones: DataFrame | None = None) -> DataFrame:
+    """(timestamp, value) of the request's points in no order, each time once; aggregates start from these."""
     r = r.checked()
-    found = table.series(r.device_id, r.metric_name).range(r.start_time, r.end_time).points()
+    points = table.series(r.device_id, r.metric_name).range(r.start_time, r.end_time).points()
     if tombstones is not None:
-        found = P.without_tombstones(found, tombstones)
-    return P.first_wins(found).select("timestamp", "value").orderBy("timestamp")
+        points = P.without_tombstones(points, tombstones)
+    return P.first_wins(points).select("timestamp", "value")
+
+
+def samples(table: PointTable, r: Request, tombstones: DataFrame | None = None) -> DataFrame:
+    """(timestamp, value) in order of time, each time once."""
+    return found(table, r, tombstones).orderBy("timestamp")
 
 
 def answer(table: PointTable, r: Request, tombstones: DataFrame | None = None) -> DataFrame:
     """One row: the request's series and operation, its result, and the count of points; zeros for an empty range."""
-    found = samples(table, r, tombstones)
+    points = found(table, r, tombstones)
     named = [F.lit(x).alias(n) for n, x in (("device_id", r.device_id), ("metric_name", r.metric_name), ("operation", r.operation))]
-    return P.operation(found, r.operation).select(*named, "result", "count")
+    return P.operation(points, r.operation).select(*named, "result", "count")
 
 
 def statistics(table: PointTable, r: Request) -> DataFrame:
     """sum, count, min and max of the request's points."""
-    return P.stats(samples(table, r).select("value"))
+    return P.stats(found(table, r).select("value"))

@@ -6,11 +6,14 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EPOCH = datetime(1970, 1, 1)
+#: Seconds that a timestamp can hold.
+LEAST, MOST = ((x - EPOCH) // timedelta(seconds=1) for x in (datetime.min, datetime.max))
 
 
 def epoch_seconds(ts: Column) -> Column:
@@ -20,8 +23,12 @@ def epoch_seconds(ts: Column) -> Column:
 
 
 def ntz(seconds: int) -> Column:
-    """A zone-less timestamp literal, so that comparing a stored column with it reaches the Parquet scan."""
-    return F.lit((EPOCH + timedelta(seconds=seconds)).isoformat(sep=" ")).cast("timestamp_ntz")
+    """A zone-less timestamp literal, so that comparing a stored column with it reaches the Parquet scan.
+
+    Bounds beyond the years 1 to 9999 count as the first and last second of those.
+    """
+    within = min(max(seconds, LEAST), MOST)
+    return F.lit((EPOCH + timedelta(seconds=within)).isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 @dataclass(frozen=True)
@@ -74,10 +81,13 @@ def events(spark: SparkSession, sf_dir: str) -> PointTable:
 def shipments(spark: SparkSession, sf_dir: str) -> PointTable:
     """Suppliers as devices, return flags as metrics, extended prices at ship dates: many repeated times.
 
-    The order of arrival is a struct, since no column gives it alone.
+    The order of arrival within a series is by order, line, part and price: one number made of the four, 13, 11 and
+    9 digits wide, so that aggregates keep it in a buffer of fixed width.
     """
     raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    seq = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    line = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("decimal(14,0)") * F.lit(Decimal(10**20))
+    part = F.col("l_partkey").cast("decimal(11,0)") * F.lit(Decimal(10**9))
+    seq = (line + part + F.round(F.col("l_extendedprice") * 100).cast("decimal(9,0)")).cast("decimal(38,0)")
     columns = {"seq": seq, "device_id": F.concat(F.lit("supp_"), F.col("l_suppkey")), "metric_name": F.col("l_returnflag"), "timestamp": epoch_seconds(F.col("l_shipdate")), "value": F.col("l_extendedprice")}
     return PointTable(raw, columns, _ntz_range("l_shipdate"), _numbered("supp_", "l_suppkey", "l_returnflag"))
 

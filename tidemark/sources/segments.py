@@ -1,114 +1,14 @@
-"""Segment files: one series each, four coded columns, a footer that tells where they lie, and a checksum."""
+"""Files of a stored table as segments: their names, and what each of them holds. Spark's Parquet is the format."""
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codec
-from ..functions.murmur import murmur3
-from ..functions.text import parse_segment_name, segment_name, series_key
+from ..functions.text import parse_segment_name
+from ..operators import table
 from ..schema import SERIES
 
-#: Fixed values of the format. The header fills 32 bytes.
-MAGIC, VERSION, HEADER, FOOTER_VERSION, CODED, STRINGS = 0x50415251, 3, 32, 1, 1, 2
-COLUMNS = (("timestamp", CODED), ("value", CODED), ("device_id", STRINGS), ("metric_name", STRINGS))
-
-
-def _strings(values: list[str]) -> bytes:
-    raw = [v.encode() for v in values]
-    return struct.pack("<I", len(raw)) + b"".join(struct.pack("<I", len(r)) + r for r in raw)
-
-
-def pack(points: pd.DataFrame) -> bytes:
-    """A segment of points in order of time."""
-    n = len(points)
-    data = []
-    for name, kind in COLUMNS:
-        if kind == STRINGS:
-            data.append(_strings(points[name].tolist()))
-        else:
-            coded = (codec.encode_ints if name == "timestamp" else codec.encode_floats)(points[name].to_numpy())
-            data.append(struct.pack("<II", CODED, len(coded)) + coded)
-    footer = struct.pack("<II", FOOTER_VERSION, len(COLUMNS))
-    at = HEADER
-    for (name, kind), column in zip(COLUMNS, data, strict=True):
-        footer += struct.pack("<I", len(name)) + name.encode() + struct.pack("<IQQQ", kind, at, len(column), n)
-        at += len(column)
-    footer += struct.pack("<I", int(murmur3([b"".join(data)])[0]))
-    head = struct.pack("<IIQI4s", MAGIC, VERSION, n, len(COLUMNS), b"TSDB").ljust(HEADER, b"\0")
-    return head + b"".join(data) + footer + struct.pack("<I", len(footer))
-
-
-def _table_of(raw: bytes) -> tuple[int, dict[str, bytes], int]:
-    """Rows, columns and checksum of a segment; ValueError where it is damaged."""
-    if len(raw) < HEADER + 4 or struct.unpack_from("<I", raw)[0] != MAGIC:
-        raise ValueError("not a segment")
-    rows = struct.unpack_from("<Q", raw, 8)[0]
-    size = struct.unpack("<I", raw[-4:])[0]
-    footer = raw[-4 - size : -4]
-    if len(footer) != size or size < 12:
-        raise ValueError("the footer is cut off")
-    at, columns = 8, {}
-    for _ in range(struct.unpack_from("<I", footer, 4)[0]):
-        width = struct.unpack_from("<I", footer, at)[0]
-        name = footer[at + 4 : at + 4 + width].decode()
-        _, begin, length, _ = struct.unpack_from("<IQQQ", footer, at + 4 + width)
-        columns[name] = raw[begin : begin + length]
-        at += 4 + width + 28
-    return rows, columns, struct.unpack_from("<I", footer, at)[0]
-
-
-def unpack(raw: bytes) -> pd.DataFrame:
-    """The points of a segment. Older segments of two columns have empty names."""
-    rows, columns, checksum = _table_of(raw)
-    if int(murmur3([b"".join(columns.values())])[0]) != checksum:
-        raise ValueError("the checksum differs")
-    out = {"timestamp": codec.decode_ints(columns["timestamp"][8:], rows), "value": codec.decode_floats(columns["value"][8:], rows)}
-    for name in SERIES:
-        texts, at = [], 4
-        for _ in range(rows if name in columns else 0):
-            size = struct.unpack_from("<I", columns[name], at)[0]
-            texts.append(columns[name][at + 4 : at + 4 + size].decode())
-            at += 4 + size
-        out[name] = texts if name in columns else [""] * rows
-    return pd.DataFrame(out)
-
-
-def segments(points: DataFrame, rows: int = 1000) -> DataFrame:
-    """(name, content): segments of at most ``rows`` points of a series, so that no task gathers a whole series.
-
-    A segment holds the points of one span of time; spans are counted off by the series' order of time.
-    """
-    from ..operators.points import chunks
-
-    cut = chunks(points, rows).withColumn("name", segment_name(series_key(F.col("device_id"), F.col("metric_name")), F.col("chunk") + 1))
-
-    def made(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"name": [key[0]], "content": [pack(pdf.sort_values("timestamp"))]})
-
-    return cut.groupBy("name").applyInPandas(made, "name string, content binary")
-
-
-def points_of(files: DataFrame, skip_damaged: bool = False) -> DataFrame:
-    """Points of (name, content) rows, in no order."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for raw in pdf["content"]:
-                try:
-                    yield unpack(bytes(raw))[[*SERIES, "timestamp", "value"]]
-                except ValueError:
-                    if not skip_damaged:
-                        raise
-
-    return files.select("content").mapInPandas(read, "device_id string, metric_name string, timestamp long, value double")
-
 
 def listing(files: DataFrame) -> DataFrame:
     """(name, series_key, sequence) of the files whose names are segments'."""
@@ -116,18 +16,12 @@ def listing(files: DataFrame) -> DataFrame:
     return files.select("name", key.alias("series_key"), sequence.alias("sequence")).where("series_key IS NOT NULL")
 
 
-def digests(files: DataFrame) -> DataFrame:
-    """(name, count, checksum) of each segment, from its header and footer alone."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [_table_of(bytes(raw)) for raw in pdf["content"]]
-            yield pd.DataFrame({"name": pdf["name"].to_numpy(), "count": [g[0] for g in got], "checksum": np.array([g[2] for g in got], dtype=np.int64)})
-
-    return files.select("name", "content").mapInPandas(read, "name string, count long, checksum long")
+def round_trip(points: DataFrame, path: str) -> DataFrame:
+    """``points`` written to a stored table and read back."""
+    table.append(points, path)
+    return table.read(points.sparkSession, path)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(name, content) of the segment files in a folder, by Spark's own reader."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parq").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content")
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """(device_id, metric_name, file, count, checksum) of each series in each file of a stored table."""
+    return table.files(table.read(spark, path)).select(*SERIES, "file", "count", "checksum")

@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from ..schema import LOG_ENTRY
 
 DEFAULT_DEVICE, DEFAULT_METRIC = "sensor_1", "temperature"
-#: A longer log line ends the reader's buffer and counts as malformed.
+#: A log line of more bytes ends the reader's buffer and counts as malformed.
 LONGEST_LINE = 64 * 1024
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of JSON-lines log files; malformed and torn lines are skipped."""
-    return spark.read.schema(LOG_ENTRY).option("mode", "DROPMALFORMED").json(path)
+    """Entries of JSON-lines log files; malformed, torn and overlong lines are skipped, as by ``parse_log``."""
+    return parse_log(spark.read.text(path), "value")
 
 
 def parse_log(lines: DataFrame, column: str = "line") -> DataFrame:
     """The same for a column of lines, keeping the other columns; absent numbers are 0, as in the log's format."""
-    entry = F.from_json(F.when(F.length(column) < LONGEST_LINE, F.col(column)), LOG_ENTRY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    entry = F.from_json(F.when(F.octet_length(column) < LONGEST_LINE, F.col(column)), LOG_ENTRY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     whole = lines.withColumn("_e", entry).where(F.col("_e").isNotNull() & F.rtrim(column).endswith("}") & F.coalesce("_e.device_id", "_e.metric_name", "_e.role").isNotNull())
     rest = [c for c in lines.columns if c != column]
     fields = [F.col(f"_e.{n}") if n not in ("timestamp", "value") else F.coalesce(f"_e.{n}", F.lit(0)).alias(n) for n in LOG_ENTRY.names]
@@ -45,9 +45,3 @@ def sensor_lines(lines: DataFrame, column: str = "line") -> DataFrame:
     got = sensor_line(F.col(column))
     return lines.select(*[c for c in lines.columns if c != column], *(c.alias(n) for n, c in got.items()))
 
-
-def simulated(spark: SparkSession, rows_per_second: int = 1, devices: int = 3, seed: int = 1) -> DataFrame:
-    """A stream of simulated temperatures, 20 plus up to 10, of devices taken in turn."""
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
-    device = F.concat(F.lit("sensor_"), F.col("value") % devices + 1)
-    return ticks.select(F.col("value").alias("seq"), device.alias("device_id"), F.lit(DEFAULT_METRIC).alias("metric_name"), F.unix_seconds("timestamp").alias("timestamp"), (20 + 10 * F.rand(seed)).alias("value"))

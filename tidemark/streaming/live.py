@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import points as P
-from ..schema import ARRIVED, SERIES
-from ..session import fresh_dir
+from ..schema import ARRIVED, LOG_ENTRY, ROLED, SERIES
+from ..session import fresh_dir, remove
 
 
-def incoming(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
-    """New Parquet files of points under ``path``, a few in each batch."""
-    return spark.readStream.schema(ARRIVED).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def incoming(spark: SparkSession, path: str, files_per_trigger: int = 4, role: bool = False) -> DataFrame:
+    """New Parquet files of points under ``path``, a few in each batch; with the ``role`` they were posted in, if asked."""
+    return spark.readStream.schema(ROLED if role else ARRIVED).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 def once(stream: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -24,9 +24,31 @@ def once(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return timed.dropDuplicatesWithinWatermark([*SERIES, "timestamp"])
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str):
+def trigger(every: str | None) -> dict[str, object]:
+    """All there is now, or a batch every so often ("5 seconds"); `incoming` bounds the files of a batch."""
+    return {"processingTime": every} if every else {"availableNow": True}
+
+
+def ingest(stream: DataFrame, path: str, checkpoint: str, every: str | None = None):
     """Append valid points to a table; restarts go on from the checkpoint, which is the write-ahead log."""
-    return P.valid(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return P.valid(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger(every)).start()
+
+
+def published(stream: DataFrame, path: str, feed: str, checkpoint: str, every: str | None = None):
+    """Append valid points to the table ``path`` and hand each of them, with its role, to ``feed`` as a JSON line.
+
+    A batch writes folders of its own number, so one that runs again after a failure replaces what it had written.
+    A stream without a role column counts as primary.
+    """
+    role = F.coalesce("role", F.lit("primary")) if "role" in stream.columns else F.lit("primary")
+
+    def save(batch: DataFrame, number: int) -> None:
+        held = batch.persist()
+        held.drop("role").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        held.select(*LOG_ENTRY.names).write.mode("overwrite").json(f"{feed}/batch={number}")
+        held.unpersist()
+
+    return P.valid(stream).withColumn("role", role).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**trigger(every)).start()
 
 
 def running_stats(stream: DataFrame) -> DataFrame:
@@ -60,19 +82,36 @@ def appended(stream: DataFrame) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{to}/out")
 
 
-def latest(stream: DataFrame, n: int = 100) -> DataFrame:
-    """The ``n`` newest points seen, kept by batches: each merges its newest into those kept."""
+def latest(stream: DataFrame, n: int = 100, to: str | None = None) -> DataFrame:
+    """The ``n`` newest points seen, kept by batches: each merges its newest into those that the batch before left.
+
+    The points are in the folder ``to``, beside the checkpoint, so a restarted stream goes on from them; a batch that
+    runs again reads what it read before. Two batches' points stay.
+    """
     spark = stream.sparkSession
-    to = fresh_dir(spark, "latest")
-    kept: list[str] = []
+    to = to or fresh_dir(spark, "latest")
 
     def merge(batch: DataFrame, number: int) -> None:
-        newest = batch.orderBy(F.desc("seq")).limit(n)
-        if kept:
-            newest = newest.unionByName(spark.read.schema(batch.schema).parquet(kept[-1])).orderBy(F.desc("seq")).limit(n)
-        newest.write.mode("overwrite").parquet(f"{to}/{number}")
-        kept.append(f"{to}/{number}")
+        newest, before = batch.orderBy(F.desc("seq")).limit(n), [b for b in batches(spark, to) if b < number]
+        if before:
+            kept = spark.read.schema(batch.schema).parquet(f"{to}/batch={max(before)}")
+            newest = newest.unionByName(kept).orderBy(F.desc("seq")).limit(n)
+        newest.write.mode("overwrite").parquet(f"{to}/batch={number}")
+        for b in before:
+            if b < max(before):
+                remove(spark, f"{to}/batch={b}")
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{to}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(kept[-1]) if kept else spark.createDataFrame([], stream.schema)
+    done = batches(spark, to)
+    return spark.read.schema(stream.schema).parquet(f"{to}/batch={max(done)}") if done else spark.createDataFrame([], stream.schema)
+
+
+def batches(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the batches that have written into a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(path)]
+    return [int(x.removeprefix("batch=")) for x in names if x.startswith("batch=")]
