@@ -13,6 +13,8 @@ from ..session import fresh_dir
 
 #: Raw text bytes that one numpy pass takes; bounds a worker's arrays whatever the Arrow batch holds.
 CHUNK_BYTES = 1_000_000
+#: Parts that a small table is dealt into for work on whole texts.
+DEALT = 16
 
 
 def remainder(doc_id: str | Column, modulus: int) -> Column:
@@ -44,6 +46,24 @@ class Written:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Steps:
+    """Tables written on the way to one result, dropped once that is written."""
+
+    def __init__(self):
+        self.held: list[Written] = []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.held.append(Written(df))
+        return self.held[-1].df
+
+    def last(self, df: DataFrame) -> Written:
+        out = Written(df)
+        for table in self.held:
+            table.drop()
+        self.held = []
+        return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     return Written(df).df
@@ -62,10 +82,12 @@ def carried(df: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, Callable[[D
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of a folder; a table with fewer splits than cores (one small file) is dealt over the cores."""
+    """The documents of a folder; a table of fewer than `DEALT` splits (one small file) is dealt round into so many.
+
+    Neither the number of cores nor the ids matter, so reruns elsewhere deal alike and repeated ids are spread.
+    """
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, "doc_id")
+    return df if df.rdd.getNumPartitions() >= DEALT else df.repartition(DEALT)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -123,7 +145,7 @@ def hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components: (node, component), the component being its smallest node.
 
     ``edges`` has long columns a and b, in any order and number; null ends and loops are ignored. Each round
@@ -136,9 +158,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     live = Written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     # parents holds every contracted node and the smaller node it was contracted into
     parents: list[Written] = []
-    for _ in range(rounds):
-        if live.df.isEmpty():
-            break
+    while not live.df.isEmpty():  # every round contracts the larger end of each edge
         both = live.df.union(live.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = Written(both.groupBy("a").agg(F.min("b").alias("p")).where("p < a"))
         # chains a -> p -> q are jumped until each contracted node points at a node that is not contracted
@@ -160,8 +180,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         nxt = Written(ends.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
         live.drop()
         live = nxt
-    else:
-        raise RuntimeError("components did not settle")
     out = None
     for hook in reversed(parents):
         h = hook.df.select(F.col("a").alias("node"), F.col("p").alias("component"))

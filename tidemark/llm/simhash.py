@@ -17,6 +17,8 @@ from . import common
 SEED = 42
 #: Node pairs that a traversal holds at once, and products of node sizes below which it compares directly.
 FRONTIER, DIRECT = 100_000, 256
+#: Tasks that pairs of nodes are dealt over at most; a task takes its pairs one after the other.
+MOST_TASKS = 100_000
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -171,7 +173,7 @@ def links(prints: DataFrame, distance: int = 3, node_size: int = 16_384) -> Data
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
 
-    spread = units.select("a", "b", "budget", "same").repartition(max(8, min(4096, n // 4096 + 1)))
+    spread = units.select("a", "b", "budget", "same").repartition(max(8, min(MOST_TASKS, n // 4096 + 1)))
     return spread.mapInArrow(run, "a long, b long")
 
 
