@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,12 +18,31 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: A word: letters of any script, and marks that follow them.
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def _class_of(kinds: str) -> str:
+    """The inside of a character class: all code points whose general category begins with one of ``kinds``."""
+    held = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in kinds]
+    firsts = [c for c, before in zip(held, [-2, *held], strict=False) if c != before + 1]
+    lasts = [c for c, after in zip(held, [*held[1:], -2], strict=True) if c != after - 1]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(firsts, lasts, strict=True))
+
+
+#: A word: a letter of any script, and the letters and marks that follow it. Numbers of any kind are no letters.
+WORD = re.compile(f"[{_class_of('L')}][{_class_of('LM')}]*")
+#: The same for texts without marks and without numbers other than digits, found several times as fast.
+PLAIN_WORD = re.compile(r"[^\W\d_]+")
+#: What may be a mark or such a number: all but the first three Unicode blocks and common punctuation.
+NOT_PLAIN = re.compile("[\xb2\xb3\xb9\xbc-\xbe\u0250-\u1fff\u2070-\u20ab\u20ad-\U0010ffff]")
+
+
+def words_of(text: str) -> list[str]:
+    text = text.lower()
+    return (WORD if NOT_PLAIN.search(text) else PLAIN_WORD).findall(text)
 WORD_KIND = 0
 UND = "und"
 #: Words that a worker remembers, and weights (words by languages) that it keeps for them and makes at a time.
-REMEMBER, WEIGHTS, STEP = 400_000, 8_000_000, 1_000_000
+REMEMBER, WEIGHTS, STEP = 200_000, 8_000_000, 1_000_000
 
 
 @dataclass
@@ -114,8 +135,8 @@ def fit(documents: DataFrame, usable, per_lang: int = 1_500, entries: int = 40_0
     """Learn from text and non-null lang of rows where ``usable`` holds.
 
     Of every language a hash-seeded share of the rows is read, ``per_lang`` in expectation (all of them, if there are
-    fewer). Counts are aggregated by Spark; of each kind (words, and n-grams of each order) the ``entries`` commonest
-    of each language are kept, with their counts in all languages, so a language keeps its own however rare it is.
+    fewer). Counts are aggregated by Spark; of each kind (words seen 3 times, and n-grams of each order seen twice) the
+    ``entries`` commonest of each language are kept, with their counts in all languages, so a language keeps its own however rare it is.
     The model is bounded by the parameters and grows with the number of languages.
     """
     rows = documents.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -131,7 +152,7 @@ def fit(documents: DataFrame, usable, per_lang: int = 1_500, entries: int = 40_0
         words: Counter = Counter()
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), common.text_bytes(batch.column("text")), strict=True):
-                words.update((lang, w) for w in WORD.findall(text.decode("utf-8", "replace").lower()))
+                words.update((lang, w) for w in words_of(text.decode("utf-8", "replace")))
         counts: Counter = Counter()
         for (lang, w), c in words.items():
             counts[lang, WORD_KIND, w] += c
@@ -145,7 +166,7 @@ def fit(documents: DataFrame, usable, per_lang: int = 1_500, entries: int = 40_0
     counted = common.Written(sample.mapInArrow(count, "lang string, kind int, gram string, n long").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")))
     totals = {(r.kind, r.lang): r.n for r in counted.df.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
     tables, logs = {}, {}
-    alike, least = Window.partitionBy("kind", "gram"), F.when(F.col("kind") == WORD_KIND, 3).otherwise(1)
+    alike, least = Window.partitionBy("kind", "gram"), F.when(F.col("kind") == WORD_KIND, 3).otherwise(2)
     usual = counted.df.withColumn("all", F.sum("n").over(alike)).where(F.col("all") >= least)
     ranked = usual.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "gram")))
     kept = common.Written(ranked.withColumn("best", F.min("rank").over(alike)).where(F.col("best") <= entries).select("kind", "gram", "lang", "n"))
@@ -166,7 +187,7 @@ def fit(documents: DataFrame, usable, per_lang: int = 1_500, entries: int = 40_0
 
 def identify(text: str, model: Model) -> tuple[str, float]:
     """The likeliest language and its share of the likelihood; ("und", 0.0) without a letter or a model."""
-    words = WORD.findall(text.lower())
+    words = words_of(text)
     if not words or not model.langs:
         return UND, 0.0
     counts = Counter(words)
