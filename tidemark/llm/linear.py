@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 
 def labelled(labels: DataFrame, label: str, usable, limit: int) -> DataFrame:
     """At most ``limit`` rows (_id, y): ids with a usable label, the first in hash order.
@@ -19,6 +21,17 @@ def labelled(labels: DataFrame, label: str, usable, limit: int) -> DataFrame:
     return known.orderBy(F.xxhash64("_id"), "_id").limit(limit)
 
 
+def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, usable, limit: int) -> DataFrame:
+    """(y, text) of the documents that ``labelled`` chooses, text as bytes, written: one row for each id at most.
+
+    Of several texts under one id the one that hashes lowest is taken, so ``limit`` bounds the rows whatever repeats.
+    """
+    chosen = labelled(labels, label, usable, limit)
+    texts = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("text").cast("binary").alias("text"))
+    found = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return common.cut(found.select("y", "text"))
+
+
 def logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, dim: int, l2: float, start: float = 0.0, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept of L2-regularized logistic regression on coordinates, by accelerated gradient descent."""
     n = max(len(y), 1)

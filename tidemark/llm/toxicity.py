@@ -17,7 +17,7 @@ ORDERS = (3, 4, 5, 6, 7)
 
 
 def gram_buckets(buf: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each order, the bucket of the byte n-gram that starts at each position."""
+    """For each order, the bucket of the character n-gram that starts at each code point."""
     wide = buf.astype(np.uint32)
     h = np.zeros(len(buf), dtype=np.uint32)
     for n in range(1, max(ORDERS) + 1):
@@ -30,19 +30,20 @@ def gram_buckets(buf: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield n, (h ^ np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS)
 
 
-def folded(text: bytes) -> bytes:
-    """Lower-cased text between single spaces, so that a gram at an edge of the text meets a boundary too."""
-    return b" " + b" ".join(text.lower().split()) + b" "
+def folded(text: bytes) -> str:
+    """Lower-cased words between single spaces, so that a gram at an edge of the text meets a boundary too."""
+    return " ".join(["", *text.decode("utf-8", "replace").lower().split(), ""])
 
 
 def presence(texts: list[bytes], slots: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, feature) once for each feature that a text holds; with ``slots``, only the features chosen there.
 
-    Byte grams never cross texts: each order skips the positions whose gram would.
+    Grams are of characters, whatever bytes they take, and never cross texts: each order skips the positions whose
+    gram would.
     """
     for lo, hi in common.chunks(texts):
         parts = [folded(x) for x in texts[lo:hi]]
-        buf = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        buf = np.frombuffer("".join(parts).encode("utf-32-le"), dtype="<u4")
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         ends = np.cumsum(sizes)
         found = []
@@ -70,18 +71,11 @@ class Model:
     intercept: float
 
 
-def fit(documents: DataFrame, labels: DataFrame, usable, label: str = "toxic", sample: int = 10_000, features: int = 8_192, l2: float = 1e-4) -> Model:
-    """Learn from at most ``sample`` labelled documents, the first in hash order of their ids.
+def gram_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket the texts of class 0 and 1 of ``rows`` (y, text) that hold it, and the texts of each class.
 
-    The counts of a gram are the sampled documents of either class that hold it. The ``features`` grams whose
-    counts differ most (by likelihood ratio) are kept; each is scaled by its log-count ratio, and logistic
-    regression sets the weights. The driver receives fixed-size count arrays, one for each of 6 tasks, and for each
-    sampled document its kept features: both bounded by the parameters. With one class or none the score is the
-    smoothed share of ones.
+    The driver receives an array of fixed size from each of 6 tasks.
     """
-    chosen = linear.labelled(labels, label, usable, sample)
-    ids = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("text").cast("binary").alias("text"))
-    rows = common.cut(ids.join(F.broadcast(chosen), "_id").select("y", "text"))
     size = 1 << BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,17 +92,46 @@ def fit(documents: DataFrame, labels: DataFrame, usable, label: str = "toxic", s
     for part in rows.coalesce(6).mapInArrow(count, "docs binary, hits binary").toLocalIterator():
         docs += np.frombuffer(part.docs, dtype=np.int64)
         hits += np.frombuffer(part.hits, dtype=np.int32).reshape(2, size)
-    prior = float(np.log((docs[1] + 1.0) / (docs[0] + 1.0)))
-    if not docs.all():
-        return Model(np.full(size, -1, dtype=np.int32), np.zeros(1), prior)
-    ratio = np.log(((hits[1] + 1.0) / (hits[1].sum() + 1.0)) / ((hits[0] + 1.0) / (hits[0].sum() + 1.0)))
+    return hits, docs
+
+
+def telling(hits: np.ndarray, docs: np.ndarray, most: int, least: int = 3) -> np.ndarray:
+    """The ``most`` buckets, of those in ``least`` texts, whose counts differ most between classes, by likelihood ratio."""
     p = (hits[1] + 0.5) / (docs[1] + 1.0)
     q = (hits[0] + 0.5) / (docs[0] + 1.0)
     m = (hits.sum(0) + 1.0) / (docs.sum() + 2.0)
     gain = docs[1] * (p * np.log(p / m) + (1 - p) * np.log((1 - p) / (1 - m))) + docs[0] * (q * np.log(q / m) + (1 - q) * np.log((1 - q) / (1 - m)))
-    gain[hits.sum(0) < 3] = 0
-    kept = np.argsort(-gain, kind="stable")[:features]
-    kept = kept[gain[kept] > 4]
+    gain[hits.sum(0) < least] = 0
+    kept = np.argsort(-gain, kind="stable")[:most]
+    return kept[gain[kept] > 4]
+
+
+def grams_of(texts: list[bytes], slots: np.ndarray) -> list[np.ndarray]:
+    """For each text the chosen features that it holds."""
+    out = [np.zeros(0, dtype=np.int32)] * len(texts)
+    for row, feature in presence(texts, slots):
+        turns = np.flatnonzero(np.diff(row)) + 1
+        for r, part in zip(row[np.r_[0, turns]] if len(row) else [], np.split(feature, turns), strict=False):
+            out[r] = part.astype(np.int32)
+    return out
+
+
+def fit(documents: DataFrame, labels: DataFrame, usable, label: str = "toxic", sample: int = 10_000, features: int = 8_192, l2: float = 1e-4) -> Model:
+    """Learn from at most ``sample`` labelled documents, the first in hash order of their ids.
+
+    The counts of a gram are the sampled documents of either class that hold it. The ``features`` grams whose
+    counts differ most (by likelihood ratio) are kept; each is scaled by its log-count ratio, and logistic
+    regression sets the weights. The driver receives fixed-size count arrays, and for each sampled document its kept
+    features: both bounded by the parameters. With one class or none the score is the smoothed share of ones.
+    """
+    rows = linear.labelled_texts(documents, labels, label, usable, sample)
+    size = 1 << BITS
+    hits, docs = gram_counts(rows)
+    prior = float(np.log((docs[1] + 1.0) / (docs[0] + 1.0)))
+    if not docs.all():
+        return Model(np.full(size, -1, dtype=np.int32), np.zeros(1), prior)
+    ratio = np.log(((hits[1] + 1.0) / (hits[1].sum() + 1.0)) / ((hits[0] + 1.0) / (hits[0].sum() + 1.0)))
+    kept = telling(hits, docs, features)
     slots = np.full(size, -1, dtype=np.int32)
     slots[kept] = np.arange(len(kept), dtype=np.int32)
     if not len(kept):
@@ -116,10 +139,7 @@ def fit(documents: DataFrame, labels: DataFrame, usable, label: str = "toxic", s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            per_row = [np.zeros(0, dtype=np.int32)] * batch.num_rows
-            for row, feature in presence(common.text_bytes(batch.column("text")), slots):
-                for r, part in zip(row[np.r_[True, row[1:] != row[:-1]]] if len(row) else [], np.split(feature, np.flatnonzero(np.diff(row)) + 1), strict=False):
-                    per_row[r] = part.astype(np.int32)
+            per_row = grams_of(common.text_bytes(batch.column("text")), slots)
             yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "f": pa.array([x.tobytes() for x in per_row], pa.binary())})
 
     got = rows.mapInArrow(encode, "y int, f binary").collect()  # at most `sample` rows of at most `features` entries
