@@ -9,15 +9,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, vectors
 
+#: Tasks that blocks are searched in at most; a task takes its blocks one after the other.
+MOST_TASKS = 100_000
+
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """For each row the ``k`` other rows of largest inner product."""
     out = np.empty((len(x), k), dtype=np.int64)
-    for lo in range(0, len(x), 1024):
-        s = x[lo : lo + 1024] @ x.T
+    for lo in range(0, len(x), 512):
+        s = x[lo : lo + 512] @ x.T
         s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -np.inf
         out[lo : lo + len(s)] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return out
@@ -115,18 +119,27 @@ def learn(x: np.ndarray, parts: int, k: int, recall: float, steps: int = 250) ->
     return router
 
 
-def search(embeddings: DataFrame, is_query, k: int = 20, sample: int = 4_096, part_size: int = 4_096, most_parts: int = 64, recall: float = 0.94) -> DataFrame:
+def parts_for(count: int, k: int, part_size: int, least: int, most: int) -> int:
+    """A power of two: enough parts of ``part_size`` vectors, but ``least`` and at most ``most``; 1 for a handful."""
+    if count < 2 * k * least:
+        return 1
+    return min(most, max(least, 1 << (-(-count // part_size) - 1).bit_length()))
+
+
+def search(embeddings: DataFrame, is_query, k: int = 20, sample: int = 8_192, part_size: int = 4_096, least_parts: int = 8, most_parts: int = 256, recall: float = 0.94, block: int = vectors.BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for the rows where ``is_query`` holds, the ``k`` of largest inner product found.
 
     The router is fitted on at most ``sample`` distinct vectors, the first in hash order. Every vector is indexed, in
     its likeliest part; a query searches its ``probes`` likeliest parts exactly, in double precision. Equal vectors
     are one entry with their k + 1 smallest ids, which is all that a result can hold of them; equal queries are
     searched once. A part is searched in blocks of bounded size, so a crowded part is shared out, and only the best
-    k + 1 of a block leave the task. All candidates return if fewer than k take part.
+    k + 1 of a block leave the task; they are merged by rank, of which each task keeps k + 1 before the shuffle. All
+    candidates return if fewer than k take part. A sample of this size can tell some hundreds of parts apart, hence
+    ``most_parts``; a table of over ``most_parts`` times ``part_size`` vectors has larger parts, not more of them.
 
     Null, zero and non-finite vectors, and rows without an id, take no part. Vectors of other lengths than the
-    commonest are compared among themselves, in one part. A row with the query's own id is no candidate. Ties go to
-    the smaller id.
+    commonest are compared among themselves, each length in one part. A row with the query's own id is no candidate.
+    Ties go to the smaller id.
     """
     rows = vectors.valid(embeddings)
     first = Window.partitionBy("embedding").orderBy("vec_id")
@@ -134,93 +147,75 @@ def search(embeddings: DataFrame, is_query, k: int = 20, sample: int = 4_096, pa
     entries = few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     asked = rows.where(is_query).select("vec_id", "embedding")
     wanted = asked.select("embedding").distinct().withColumn("asks", F.lit(True))
-    nodes = entries.join(wanted, "embedding", "left")
+    nodes = entries.join(wanted, "embedding", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
     nodes = common.Written(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding"))).df
-    pieces = []
-    for size in nodes.groupBy("dim").count().orderBy(F.desc("count"), "dim").collect():
-        own = nodes.where(F.col("dim") == size["dim"])
-        parts = 1
-        while parts < most_parts and parts * part_size < size["count"] and not pieces:
-            parts *= 2
-        x = np.array([r.embedding for r in own.orderBy(F.xxhash64("embedding"), "node").limit(sample if parts > 1 else 1).collect()])
-        pieces.append(_searched(own, learn(x, parts, k, recall), size["count"], k))
-    if not pieces:
+    commonest = nodes.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
+    if commonest is None:
         return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    best = pieces[0]
-    for piece in pieces[1:]:
-        best = best.union(piece)
-    # lists of each block, merged: at most (k + 1) entries for each block a query visits
-    merged = best.groupBy("node").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("best"))
-    merged = merged.select("node", F.slice("best", 1, k + 1).alias("best")).join(nodes.select("node", "embedding"), "node")
+    own = nodes.where(F.col("dim") == commonest["dim"])
+    parts = parts_for(commonest["count"], k, part_size, least_parts, most_parts)
+    x = vectors.matrix(own.orderBy(F.xxhash64("embedding"), "node").limit(sample if parts > 1 else 1).select("embedding").toArrow()["embedding"])
+    best = _searched(nodes, commonest["dim"], learn(x, parts, k, recall), k, block)
+    ranked = best.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy("less", "vec_id"))).where(F.col("_r") <= k + 1)
+    merged = ranked.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("less", "vec_id"))).alias("best"))  # k + 1 at most
+    merged = merged.join(nodes.select("node", "embedding"), "node")
     answer = asked.join(merged, "embedding").withColumn("best", F.slice(F.filter("best", lambda e: e["vec_id"] != F.col("vec_id")), 1, k))
     flat = answer.select(F.col("vec_id").alias("query_id"), F.posexplode("best").alias("rank", "hit"))
     return flat.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.less")).alias("score"))
 
 
-def _searched(nodes: DataFrame, router: Router, count: int, k: int) -> DataFrame:
-    """(node, best): for each asking node and block it visits, the best (less = -score, vec_id)."""
+def _searched(nodes: DataFrame, dim: int, router: Router, k: int, block: int) -> DataFrame:
+    """(node, less, vec_id): for each asking node and block it visits, the best, less being the negative score."""
+    kind = vectors.width_of(nodes)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, vectors.BLOCK):
-                part = batch.slice(at, vectors.BLOCK)
-                x = vectors.matrix(part.column("embedding"))
-                node, asks = np.asarray(part.column("node")), np.asarray(part.column("asks").fill_null(False))
-                ids = part.column("ids")
-                score = router.scores(x)
-                home = score.argmax(axis=1)
-                out = []
-                for p in range(score.shape[1]):
-                    mine = np.flatnonzero(home == p)
-                    if len(mine):
-                        held = ids.take(pa.array(mine))
-                        out.append((p, 0, np.asarray(held.value_lengths()).astype(np.int64).tobytes(), np.asarray(held.flatten()).astype(np.int64).tobytes(), x[mine].tobytes()))
-                q = np.flatnonzero(asks)
-                if len(q):
-                    order = np.argsort(-score[q], axis=1, kind="stable")[:, : router.probes]
-                    for p in range(score.shape[1]):
-                        comes = q[(order == p).any(axis=1)]
-                        if len(comes):
-                            out.append((p, 1, node[comes].tobytes(), b"", x[comes].tobytes()))
-                for i in range(0, len(out), 16):
-                    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([o[f] for o in out[i : i + 16]], t) for f, t in enumerate(kinds)], ["part", "role", "nodes", "ids", "xs"])
-
-    blocks = max(1, -(-count // vectors.BLOCK))
-    dealt = nodes.select("node", "asks", "ids", "embedding").repartition(blocks).mapInArrow(deal, "part int, role int, nodes binary, ids binary, xs binary")
-    dealt = common.Written(dealt.withColumn("block", F.monotonically_increasing_id()), "snappy").df
-    held = dealt.where("role = 0").select("part", "block", F.col("nodes").alias("sizes"), "ids", F.col("xs").alias("c_xs"))
-    sent = dealt.where("role = 1").select("part", "nodes", F.col("xs").alias("q_xs")).join(held.select("part", "block"), "part")
-    width = min(2_000, max(12, router.bias.size * blocks))
-    units = held.repartition(width, "part", "block").join(sent.repartition(width, "part", "block"), ["part", "block"])
+            part = np.zeros(batch.num_rows, dtype=np.int32)
+            to = np.zeros((batch.num_rows, router.probes), dtype=np.int32)
+            sizes = np.ones(batch.num_rows, dtype=np.int64)
+            for length, at, x in vectors.by_length(batch):
+                if length == dim:
+                    score = router.scores(x)
+                    part[at], sizes[at] = score.argmax(axis=1), router.probes
+                    to[at] = np.argsort(-score, axis=1, kind="stable")[:, : router.probes]
+            sizes[~np.asarray(batch.column("asks"))] = 0
+            visited = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(to[np.arange(router.probes) < sizes[:, None]]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part), visited], [*batch.schema.names, "part", "visited"])
+
+    schema = T.StructType([*nodes.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("visited", T.ArrayType(T.IntegerType()))])
+    routed = nodes.mapInArrow(route, schema)
+    held = vectors.blocks(routed.select("dim", "part", "node", "ids", "embedding"), ["dim", "part"], ["node"], ["ids"], block).df
+    going = routed.where("asks").select("dim", F.explode("visited").alias("part"), "node", "embedding")
+    queries = vectors.blocks(going, ["dim", "part"], ["node"], [], block // 2).df
+    sent = queries.select("dim", "part", F.col("node").alias("nodes"), F.col("xs").alias("q_xs")).join(held.select("dim", "part", "block"), ["dim", "part"])
+    width = max(12, min(held.count(), MOST_TASKS))
+    units = held.drop("part").repartition(width, "block").join(sent.drop("dim", "part").repartition(width, "block"), "block")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 cell = lambda name, kind, r=r, batch=batch: np.frombuffer(batch.column(name)[r].as_buffer(), dtype=kind)
-                sizes, ids, nodes_ = cell("sizes", np.int64), cell("ids", np.int64), cell("nodes", np.int64)
-                c, q = cell("c_xs", np.float64).reshape(len(sizes), -1), cell("q_xs", np.float64).reshape(len(nodes_), -1)
+                width = batch.column("dim")[r].as_py()
+                sizes, ids, nodes_ = cell("ids_sizes", "<i8"), cell("ids", "<i8"), cell("nodes", "<i8")
+                c, q = (cell(name, kind).astype(float).reshape(-1, width) for name in ("xs", "q_xs"))
                 begin = np.cumsum(sizes) - sizes
-                out_less, out_ids, ends = [], [], [0]
                 for lo in range(0, len(q), 256):
                     s = q[lo : lo + 256] @ c.T
                     slack = 1e-9 * (np.abs(s).max() + 1.0)
+                    less, named, asks = [], [], []
                     for i in range(len(s)):
                         at = np.arange(len(c))
                         if len(c) > k + 1:
                             at = np.flatnonzero(s[i] >= np.partition(s[i], len(c) - k - 1)[len(c) - k - 1] - slack)
                         score = (c[at] * q[lo + i]).sum(axis=1)  # one order of summation wherever the row lies
-                        ids_at = common.concat_ranges(begin[at], sizes[at])
-                        less, named = -np.repeat(score, sizes[at]), ids[ids_at]
-                        top = np.lexsort((named, less))[: k + 1]
-                        out_less.append(less[top])
-                        out_ids.append(named[top])
-                        ends.append(ends[-1] + len(top))
-                if len(q):
-                    items = pa.StructArray.from_arrays([pa.array(np.concatenate(out_less)), pa.array(np.concatenate(out_ids))], ["less", "vec_id"])
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes_), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], ["node", "best"])
-
-    return units.select("sizes", "ids", "c_xs", "nodes", "q_xs").mapInArrow(compare, "node long, best array<struct<less:double,vec_id:long>>")
+                        own_less, own_ids = -np.repeat(score, sizes[at]), ids[common.concat_ranges(begin[at], sizes[at])]
+                        top = np.lexsort((own_ids, own_less))[: k + 1]
+                        less.append(own_less[top])
+                        named.append(own_ids[top])
+                        asks.append(np.full(len(top), nodes_[lo + i]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (asks, less, named)], ["node", "less", "vec_id"])
+
+    return units.select("dim", "ids_sizes", "ids", "xs", "nodes", "q_xs").mapInArrow(compare, "node long, less double, vec_id long")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_embedding_dups": vector_dups.OP2_SQL,
     "op4_mixing": mixing.OP4_SQL,
 }
