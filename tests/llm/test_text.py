@@ -60,7 +60,70 @@ def test_classifiers_without_labels(spark, odd):
         assert quality.score(docs, quality.fit(docs, none, F.lit(True))).count() == docs.count()
     one = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert {r.good for r in quality.score(odd, quality.fit(odd, one, F.lit(True))).collect()} == {1}
-    assert {r.toxic for r in toxicity.score(odd, toxicity.fit(odd, one, F.lit(True))).collect()} == {0, 1} or True
+    # a single label 0: the smoothed share of ones is 1 / 3 of 1 document
+    assert {(round(r.toxicity, 6), r.toxic) for r in toxicity.score(odd, toxicity.fit(odd, one, F.lit(True))).collect()} == {(round(1 / 3, 6), 1)}
+
+
+def hashed_gram(gram):
+    h = 0
+    for c in gram:
+        h = ((h ^ ord(c)) * 0x9E3779B1) & 0xFFFFFFFF
+        h ^= h >> 15
+    return (((h ^ (len(gram) * 0x85EBCA6B & 0xFFFFFFFF)) * 0xC2B2AE35) & 0xFFFFFFFF) >> (32 - toxicity.BITS)
+
+
+def brute_grams(text, slots):
+    padded = " ".join(["", *(text or "").lower().split(), ""])
+    found = {slots[hashed_gram(padded[i : i + n])] for n in toxicity.ORDERS for i in range(len(padded) - n + 1)}
+    return sorted(found - {-1})
+
+
+@pytest.fixture(scope="module")
+def few(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 1500").limit(60).select("doc_id", "text")
+    extra = [(10_001, "ÉTÉ où ΣΑΣ日本語  ½"), (10_002, ""), (10_003, None), (10_004, "a"), (10_005, "x " * 3_000)]
+    return rows.union(spark.createDataFrame(extra, rows.schema))
+
+
+def test_toxicity_equals_a_plain_scorer(spark, few, labels):
+    model = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), labels, F.lit(True), sample=300)
+    for r in toxicity.score(few, model).collect():
+        z = model.intercept + sum(model.weights[g] for g in brute_grams(r.text, model.slots))
+        assert r.toxicity == pytest.approx(1 / (1 + np.exp(-np.clip(z, -35, 35))), rel=1e-9)
+
+
+def test_toxicity_counts_texts_by_class():
+    import collections
+
+    texts = ["Abc abc", "abd ÀB", "zzz"]
+    want = collections.Counter()
+    for t in texts[:2]:
+        want.update(set(brute_grams(t, np.arange(1 << toxicity.BITS))))
+    rows = [feature.tolist() for _, feature in toxicity.presence([t.encode() for t in texts[:2]])]
+    assert collections.Counter(x for r in rows for x in r) == want
+
+
+def test_quality_equals_a_plain_scorer(spark, few, labels):
+    model = quality.fit(spark.read.parquet(f"{SF}/documents.parquet"), labels, F.lit(True), sample=300, steps=60)
+    for r in quality.score(few, model).collect():
+        x = quality.features([(r.text or "").encode()])[0]
+        z = np.clip((x - model.mean) / model.spread, -8, 8)
+        held = brute_grams(r.text, model.slots)
+        s = np.r_[z, np.minimum(z * z, 16)] @ model.weights + sum(model.grams[g] for g in held) / np.sqrt(max(len(held), 1)) - model.cut
+        assert r.quality == pytest.approx(1 / (1 + np.exp(-np.clip(s, -35, 35))), rel=1e-6)
+
+
+def test_quality_tells_the_order_of_bytes():
+    one, two = quality.features([b"stop pots tops opts", b"stop stop stop stop"])
+    assert one[quality.NAMES.index("distinct")] == 1 and two[quality.NAMES.index("distinct")] == 0.25
+
+
+def test_repeated_ids_do_not_swell_the_sample(spark, labels):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "two")], "doc_id long, text string")
+    known = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    from tidemark.llm import linear
+
+    assert linear.labelled_texts(docs, known, "toxic", F.lit(True), 10).count() == 2
 
 
 def test_language_accuracy(spark):
@@ -72,6 +135,46 @@ def test_language_accuracy(spark):
     assert all(want[i] == h for i, h in zip(got.doc_id, got.held_out))
 
 
+def test_words_are_letters_and_marks():
+    assert langid.words_of("½ ² ① Ⅷ 12 _ !") == []
+    assert langid.words_of("हिन्दी naïve x1y²z Ærø’s") == ["हिन्दी", "naïve", "x", "y", "z", "ærø", "s"]
+    assert langid.words_of("cafe\u0301 ok") == ["cafe\u0301", "ok"]
+
+
+def plain_language(text, model):
+    import unicodedata
+
+    words, word = [], ""
+    for c in (text or "").lower() + " ":
+        kind = unicodedata.category(c)[0]
+        if kind == "L" or (kind == "M" and word):
+            word += c
+        elif word:
+            words.append(word)
+            word = ""
+    if not words:
+        return "und", 0.0
+    total = np.zeros(len(model.langs))
+    for w in words:
+        if w in model.tables[0]:
+            total += model.logs[0][[model.tables[0][w]]][0]
+            continue
+        padded = f" {w} "
+        for n in model.orders:
+            hits = [model.tables[n][padded[i : i + n]] for i in range(len(padded) - n + 1) if padded[i : i + n] in model.tables[n]]
+            if hits:
+                total += model.logs[n][hits].mean(axis=0)
+                break
+    return model.langs[int(total.argmax())], float(1 / np.exp(total - total.max()).sum())
+
+
+def test_language_equals_a_plain_scorer(spark, few):
+    model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 7 = 0"), F.lit(True), entries=300)
+    for r in langid.predict(few, model).collect():
+        lang, score = plain_language(r.text, model)
+        assert (r.lang_pred, r.lang_score) == (lang, pytest.approx(score, rel=1e-3))
+
+
 def test_language_backs_off():
     import numpy as np
 
@@ -174,7 +277,7 @@ def test_pipeline_stages(spark):
         if name == "mixing":
             mixed = docs.toPandas()
     assert counts["language ID"] >= 0.99 * before
-    assert counts["suffix-array dedup"] == counts["SimHash near-dedup"] < before
+    assert counts["suffix-array dedup"] <= counts["SimHash near-dedup"] < before
     pieces = docs.toPandas()
     per = pieces.groupby("sequence_id").length.sum()
     assert per.max() <= 2048 and all(n == 2048 or n & (n - 1) == 0 for n in per)
@@ -192,3 +295,29 @@ def test_pipeline_takes_odd_rows(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         docs = common.cut(stage(spark, docs, SF))
     assert docs.count() == 0
+
+
+def test_pipeline_removes_what_repeats(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randint(3, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    shared = {n: prose(n) for n in (30, 51, 55, 60, 70)}
+    rows, clean = [], {}
+    for i in range(40):
+        n = (51, 55, 60, 70, 30)[i % 5]
+        a, b = prose(80), prose(90)
+        rows.append((i, f"{a} {shared[n]} {b}", "en", "s", 0))
+        if n == 30:
+            clean[i] = rows[-1][1]
+    for i in range(40, 60):
+        clean[i] = prose(120)
+        rows.append((i, clean[i], "en", "s", 0))
+    rows += [(60, shared[51], "en", "s", 0), (61, "", "en", "s", 0), (62, clean[41] + " tail", "en", "s", 0), (63, clean[41], "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    near = {x.doc_id: x.text for x in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert 41 in near and not {62, 63} & set(near) and set(clean) <= set(near)
+    left = {x.doc_id: x for x in corpus_pipeline.substring_dedup(spark, docs.where("doc_id < 62"), SF).collect()}
+    assert set(left) == set(range(60)) | {61}  # 60 was a passage and nothing else; 61 never had a word
+    for i, x in left.items():
+        assert x.n_chars == len(x.text)
+        assert clean[i] == x.text if i in clean else not any(shared[n] in x.text for n in (51, 55, 60, 70))
