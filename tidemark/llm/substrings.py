@@ -23,12 +23,14 @@ _TABLE = np.random.default_rng(23).integers(1, 1 << 63, 256, dtype=np.uint64) |
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 U = np.uint64
+#: Bytes of text that one pass takes at a time; it holds some 100 bytes for each.
+PASS_BYTES = 1 << 18
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 2 * common.CHUNK_BYTES)
+        size = max(n, 2 * PASS_BYTES)
         made = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(size, base, dtype=np.uint64)
@@ -93,7 +95,7 @@ def runs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, q:
 
 
 def _packed(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    for lo, hi in common.chunks(texts):
+    for lo, hi in common.chunks(texts, PASS_BYTES):
         sizes = np.array([len(x) for x in texts[lo:hi]], dtype=np.int64)
         ends = np.cumsum(sizes)
         yield lo, np.frombuffer(b"".join(texts[lo:hi]), dtype=np.uint8), ends - sizes, ends
@@ -118,7 +120,7 @@ def _squeezed(df: DataFrame) -> DataFrame:
     return df.select(*names, "_bytes").mapInArrow(run, schema)
 
 
-def _settle(rows: DataFrame, ref: list[str]) -> tuple[DataFrame, DataFrame]:
+def _settle(rows: DataFrame, ref: list[str], write) -> tuple[DataFrame, DataFrame]:
     """Rows that are repeated whole, and one row of each class that has to be refined.
 
     Rows of a bucket (k1, k2) with equal ``f`` are one class. A class of several rows is settled: it repeats. A
@@ -126,13 +128,13 @@ def _settle(rows: DataFrame, ref: list[str]) -> tuple[DataFrame, DataFrame]:
     all. Counts are aggregated before the shuffle and joined back from a written table, so that AQE can split the
     rows of a key that is everywhere.
     """
-    classes = common.Written(rows.groupBy("k1", "k2", "f").agg(F.count("*").alias("n"), F.min(F.struct(*ref)).alias("ref"))).df
-    again = common.Written(classes.where("n > 1").select("k1", "k2", "f")).df
-    crowded = common.Written(classes.groupBy("k1", "k2").agg(F.count("*").alias("c")).where("c > 1").select("k1", "k2")).df
+    classes = write(rows.groupBy("k1", "k2", "f").agg(F.count("*").alias("n"), F.min(F.struct(*ref)).alias("ref")))
+    again = write(classes.where("n > 1").select("k1", "k2", "f"))
+    crowded = write(classes.groupBy("k1", "k2").agg(F.count("*").alias("c")).where("c > 1").select("k1", "k2"))
     return rows.join(again, ["k1", "k2", "f"], "left_semi").select(*ref), classes.join(crowded, ["k1", "k2"], "left_semi").select("k1", "ref.*")
 
 
-def repeated(keyed: DataFrame, length: int = 400, step: int = 16) -> DataFrame:
+def repeated(keyed: DataFrame, length: int = 400, step: int = 16) -> common.Written:
     """(_id, _h, spans) of each text of ``keyed`` (_id, _h, _bytes) that has some: its repeated runs of bytes.
 
     A window is ``length`` bytes of one text; it is repeated if equal bytes start anywhere else. spans are the
@@ -145,7 +147,8 @@ def repeated(keyed: DataFrame, length: int = 400, step: int = 16) -> DataFrame:
        that all their windows hold). If all bytes of all their windows occur again, all of them repeat.
     2. Of the rest each suffix goes on alone: (bucket, all ``length`` bytes).
 
-    Equal windows share their anchor at the same distance, hence every bucket, and are never separated.
+    Equal windows share their anchor at the same distance, hence every bucket, and are never separated. The result is
+    written, so that what was written on the way can go.
     """
     q = max(length // 4, 1)
 
@@ -158,13 +161,16 @@ def repeated(keyed: DataFrame, length: int = 400, step: int = 16) -> DataFrame:
                 small = [pa.array(r[c].astype(np.int32)) for c in ("first", "last", "anchor")]
                 yield pa.RecordBatch.from_arrays([pa.array(r["bucket"].view(np.int64)), pa.array(r["whole"].view(np.int64)), ids.take(rows), hashes.take(rows), *small], ["k1", "f", "_id", "_h", "first", "last", "anchor"])
 
-    found = common.Written(keyed.select("_id", "_h", "_bytes").mapInArrow(find, "k1 long, f long, _id long, _h long, first int, last int, anchor int")).df
-    shared = common.Written(found.groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select("k1")).df
-    found = common.Written(found.join(shared, "k1", "left_semi").withColumn("k2", F.lit(0).cast("long"))).df
-    settled, open_runs = _settle(found, ["_id", "_h", "first", "last", "anchor"])
+    steps = common.Steps()
+    write = steps.write
+    found = common.Written(keyed.select("_id", "_h", "_bytes").mapInArrow(find, "k1 long, f long, _id long, _h long, first int, last int, anchor int"))
+    shared = write(found.df.groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select("k1"))
+    alike = write(found.df.join(shared, "k1", "left_semi").withColumn("k2", F.lit(0).cast("long")))
+    found.drop()
+    settled, open_runs = _settle(alike, ["_id", "_h", "first", "last", "anchor"], write)
     spans = [settled.select("_id", "_h", F.col("first").alias("lo"), (F.col("last") + length).alias("hi"))]
 
-    asked = common.Written(open_runs.groupBy("_id", "_h").agg(F.collect_list(F.struct("k1", "first", "last", "anchor")).alias("runs"))).df
+    asked = write(open_runs.groupBy("_id", "_h").agg(F.collect_list(F.struct("k1", "first", "last", "anchor")).alias("runs")))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
@@ -179,7 +185,7 @@ def repeated(keyed: DataFrame, length: int = 400, step: int = 16) -> DataFrame:
     texts = _squeezed(keyed.select("_id", "_h", "_bytes"))
     parts = asked.join(texts, ["_id", "_h"]).mapInArrow(cut_out, "_id long, _h long, k1 long, first int, anchor int, part binary")
     # a row that is there twice gives its runs twice, and one of each is enough
-    parts = common.Written(parts.groupBy("_id", "_h", "first").agg(F.first("k1").alias("k1"), F.first("anchor").alias("anchor"), F.first("part").alias("part")).withColumn("run", F.monotonically_increasing_id())).df
+    parts = write(parts.groupBy("_id", "_h", "first").agg(F.first("k1").alias("k1"), F.first("anchor").alias("anchor"), F.first("part").alias("part")).withColumn("run", F.monotonically_increasing_id()))
     where = parts.select("run", "_id", "_h", "first")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,8 +205,8 @@ def repeated(keyed: DataFrame, length: int = 400, step: int = 16) -> DataFrame:
                 rows = pa.array(text + lo)
                 yield pa.RecordBatch.from_arrays([batch.column("k1").take(rows), pa.array(core.view(np.int64)), pa.array(full.view(np.int64)), batch.column("run").take(rows), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["k1", "k2", "f", "run", "a", "b"])
 
-    groups = common.Written(parts.select("k1", "run", "first", "anchor", "part").mapInArrow(spread, "k1 long, k2 long, f long, run long, a int, b int")).df
-    settled, open_groups = _settle(groups, ["run", "a", "b"])
+    groups = write(parts.select("k1", "run", "first", "anchor", "part").mapInArrow(spread, "k1 long, k2 long, f long, run long, a int, b int"))
+    settled, open_groups = _settle(groups, ["run", "a", "b"], write)
     by_run = [settled]
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,11 +224,11 @@ def repeated(keyed: DataFrame, length: int = 400, step: int = 16) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("k1").take(rows), pa.array(window.view(np.int64)), batch.column("run").take(rows), pa.array(a.astype(np.int32))], ["k1", "k2", "run", "a"])
 
     todo = open_groups.groupBy("run").agg(F.collect_list(F.struct("a", "b")).alias("todo"))
-    alone = common.Written(parts.join(todo, "run").select("k1", "run", "first", "anchor", "part", "todo").mapInArrow(single, "k1 long, k2 long, run long, a int")).df
-    twice = common.Written(alone.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")).df
+    alone = write(parts.join(todo, "run").select("k1", "run", "first", "anchor", "part", "todo").mapInArrow(single, "k1 long, k2 long, run long, a int"))
+    twice = write(alone.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2"))
     by_run.append(alone.join(twice, ["k1", "k2"], "left_semi").select("run", "a", F.col("a").alias("b")))
     fine = by_run[0].union(by_run[1]).join(where, "run").select("_id", "_h", (F.col("first") + F.col("a")).alias("lo"), (F.col("first") + F.col("b") + length).alias("hi"))
-    return _merged(spans[0].union(fine))
+    return steps.last(_merged(spans[0].union(fine)))
 
 
 def _merged(ranges: DataFrame) -> DataFrame:
@@ -254,7 +260,7 @@ def within(keyed: DataFrame, spans: DataFrame, length: int) -> DataFrame:
     cut = _squeezed(keyed.select("_id", "_h", "_bytes")).join(long, ["_id", "_h"]).select("_id", "_h", "z", "spans").mapInArrow(cut_out, "_id long, _h long, lo int, _bytes binary")
     parts = common.Written(cut.withColumn("_text", F.col("_h")).withColumn("_h", F.xxhash64("_text", "lo"))).df
     places = parts.select("_id", "_h", "_text", "lo").distinct()
-    found = repeated(parts.select("_id", "_h", "_bytes"), length).join(places.withColumnRenamed("lo", "at"), ["_id", "_h"])
+    found = repeated(parts.select("_id", "_h", "_bytes"), length).df.join(places.withColumnRenamed("lo", "at"), ["_id", "_h"])
     moved = F.transform("spans", lambda s: F.struct((s["lo"] + F.col("at")).alias("lo"), (s["hi"] + F.col("at")).alias("hi")))
     # runs of one text don't touch, so theirs don't either
     return found.withColumn("spans", moved).groupBy("_id", F.col("_text").alias("_h")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
@@ -306,7 +312,7 @@ def dedup(documents: DataFrame, length: int = 400, as_text: bool = False) -> Dat
     Spans are found with 128-bit keys of two 64-bit hashes of the bytes. With ``as_text``, kept is a string: where a
     span ends within a character, what is left of the character goes too.
     """
-    found = common.Written(repeated(_keyed(documents.select("doc_id", "text")), length)).df
+    found = repeated(_keyed(documents.select("doc_id", "text")), length).df
     return _cut(documents, {"spans": found}, "spans", as_text)
 
 
@@ -316,7 +322,7 @@ def dedup_passages(documents: DataFrame, least: int = 200, words: int = 51, enou
     A passage is a run of bytes covered by strings of ``least`` bytes that repeat, if it holds ``words`` words (parts
     at its ends count) or ``enough`` bytes. Shorter runs, such as a formula of a few dozen words, stay.
     """
-    found = common.Written(repeated(_keyed(documents.select("doc_id", "text")), least)).df
+    found = repeated(_keyed(documents.select("doc_id", "text")), least).df
     return _cut(documents, {"passages": found}, "passages", as_text, words, enough)
 
 
@@ -326,8 +332,8 @@ def dedup_both(documents: DataFrame, length: int = 400, least: int = 200, words:
     Strings of ``length`` bytes are looked for only where those of ``least`` bytes, fewer than ``length``, repeat.
     """
     keyed = _keyed(documents.select("doc_id", "text")).select("_id", "_h", "_bytes")
-    short = common.Written(repeated(keyed, least)).df
-    found = common.Written(within(keyed, short, length)).df
+    short = repeated(keyed, least).df
+    found = within(keyed, short, length)
     return _cut(documents, {"passages": short, "spans": found}, "spans", False, words, length)
 
 
