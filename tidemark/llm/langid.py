@@ -135,7 +135,7 @@ def fit(documents: DataFrame, usable, per_lang: int = 1_500, entries: int = 40_0
     """Learn from text and non-null lang of rows where ``usable`` holds.
 
     Of every language a hash-seeded share of the rows is read, ``per_lang`` in expectation (all of them, if there are
-    fewer). Counts are aggregated by Spark; of each kind (words seen 3 times, and n-grams of each order seen twice) the
+    fewer). Counts are aggregated by Spark; of each kind (words seen 3 times, and n-grams of each order) the
     ``entries`` commonest of each language are kept, with their counts in all languages, so a language keeps its own however rare it is.
     The model is bounded by the parameters and grows with the number of languages.
     """
@@ -166,7 +166,7 @@ def fit(documents: DataFrame, usable, per_lang: int = 1_500, entries: int = 40_0
     counted = common.Written(sample.mapInArrow(count, "lang string, kind int, gram string, n long").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")))
     totals = {(r.kind, r.lang): r.n for r in counted.df.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
     tables, logs = {}, {}
-    alike, least = Window.partitionBy("kind", "gram"), F.when(F.col("kind") == WORD_KIND, 3).otherwise(2)
+    alike, least = Window.partitionBy("kind", "gram"), F.when(F.col("kind") == WORD_KIND, 3).otherwise(1)
     usual = counted.df.withColumn("all", F.sum("n").over(alike)).where(F.col("all") >= least)
     ranked = usual.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "gram")))
     kept = common.Written(ranked.withColumn("best", F.min("rank").over(alike)).where(F.col("best") <= entries).select("kind", "gram", "lang", "n"))
@@ -200,11 +200,12 @@ def identify(text: str, model: Model) -> tuple[str, float]:
     return model.langs[best], float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
 
-def predict(documents: DataFrame, model: Model) -> DataFrame:
+def predict(documents: DataFrame, model: Model, keep: bool = True) -> DataFrame:
     """``documents`` with lang_pred and lang_score, replacing columns so named; whole texts, no shuffle.
 
     A null text, or one without a letter, gets ``und`` and 0.0. Equal scores go to the language first by code
-    point. Repeated rows each get the same answer.
+    point. Repeated rows each get the same answer. With ``keep``, a worker keeps the words it has met for its next task,
+    which is faster; without, it gives that memory back.
     """
     sent = documents.sparkSession.sparkContext.broadcast(model)  # bounded by `entries` and orders for each language
 
@@ -214,6 +215,8 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
             got = [identify(x.decode("utf-8", "replace"), model) for x in common.text_bytes(batch.column("_bytes"))]
             rest = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*batch.schema.names[:-1], "lang_pred", "lang_score"])
+        if not keep:
+            model.memo, model.rows = {}, None
 
     rest = documents.drop("lang_pred", "lang_score", "_bytes")
     out = T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])

@@ -52,10 +52,11 @@ def copies(documents: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, **optio
     source, and AQE's skew join splits a hot one.
     """
     sized = documents.drop("size", "source_size", "target", "copies").withColumn("size", size_of())
-    goal = common.Written(targets(sized, **options).withColumnRenamed("source", "_source")).df
-    held = goal.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.col("_source").cast("string")), F.lit(0)) + 32), F.lit(0)).alias("n")).first().n
+    key = "_" * (1 + max(map(len, documents.columns)))  # a name that no column has
+    goal = common.Written(targets(sized.select("source", "size"), **options).withColumnRenamed("source", key)).df
+    held = goal.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0)) + 32), F.lit(0)).alias("n")).first().n
     goal = F.broadcast(goal) if held <= broadcast_bytes else goal
-    placed = sized.join(goal, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    placed = sized.join(goal, F.col("source").eqNullSafe(F.col(key)), "left").drop(key)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     digits = F.conv(F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10)
     draw = digits.cast("double") / F.lit(4294967296.0)
@@ -65,8 +66,8 @@ def copies(documents: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, **optio
 def mix(documents: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as `copies` says, with the columns of ``documents``."""
     names = documents.columns
-    drawn = copies(documents, **options).where("copies > 0")
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+    drawn = copies(documents.select("doc_id", "source", "text", F.struct(*names).alias("row")), **options).where("copies > 0")
+    return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("row")[c].alias(c) for c in names])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
