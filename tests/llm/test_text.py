@@ -249,6 +249,9 @@ def test_mixing_targets(spark, odd):
     assert mixed.count() == len(ODD) and mixing.copies(odd.limit(0)).count() == 0
     twice = [Counter((r.doc_id, r.copies) for r in mixing.copies(odd.repartition(n)).collect()) for n in (1, 5)]
     assert twice[0] == twice[1]
+    clashing = odd.withColumns({c: F.lit("mine") for c in ("size", "target", "copies", "_source", "_w", "_cap", "_copy")})
+    assert Counter(mixing.copies(clashing).select(*mixed.columns).collect()) == Counter(mixed.collect())
+    assert {(r._source, r._w, r._cap) for r in mixing.copies(clashing).collect()} == {("mine",) * 3}
     shuffled = mixing.copies(odd, broadcast_bytes=0)
     assert Counter(shuffled.collect()) == Counter(mixed.collect())
 
