@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 
 #: Bytes in an Arrow batch, unless the application sets them: a task holds a batch several times (in the JVM, in
 #: Python, as Python objects, and its results), so the default of 64 MB takes a few hundred MB for each core.
-ARROW_BYTES = "8m"
+ARROW_BYTES = "2m"
 #: What the session says where nobody has set it.
 UNSET_ARROW_BYTES = "67108864b"
 
