@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import ann, binary, common, packing, simhash, substrings, tokens, vector_dups
-from tidemark.llm.queries import QUERIES
+from tidemark.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -210,9 +210,10 @@ def test_encoder_equals_the_library_on_any_text(text):
 def test_elias_fano(steps):
     values = np.cumsum(np.array(steps, dtype=np.int64))
     code = binary.EliasFano.of(values)
-    assert (code.all() == values).all()
+    assert (code.slice(0, len(values)) == values).all()
     for i in range(0, len(values), 37):
         assert code.select(i) == values[i]
+        assert (code.slice(i, min(i + 300, len(values))) == values[i : i + 300]).all()
     if len(values) > 300 and values[-1]:
         assert len(code.low) + len(code.high) <= len(values) * (2.2 + max(0, np.log2(values[-1] / len(values)))) / 8 + 16
 
@@ -226,9 +227,10 @@ def test_token_file_query(spark):
     assert got.ids_crc32.tolist() == [zlib.crc32(x.tobytes()) for x in want]
 
 
-def test_token_file_odd_rows(spark, monkeypatch):
+def test_token_file_odd_rows(spark):
     rows = [*enumerate(TEXTS), (3, TEXTS[3]), (None, "no id"), (50, "long text " * 20_000)]
-    got = binary.read(binary.write(spark.createDataFrame(rows, "doc_id long, text string")).df).orderBy("start").collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.lit("mine")).withColumn("ids", F.lit(1))
+    got = binary.read(binary.write(docs).df).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, 0, 1, 2, 3, 3, *range(4, len(TEXTS)), 50]
     at = 0
     for r in got:
@@ -239,6 +241,17 @@ def test_token_file_odd_rows(spark, monkeypatch):
     assert binary.read(empty.df).count() == 0
 
 
+def test_token_file_offsets(spark, monkeypatch):
+    monkeypatch.setattr(binary, "SLICE", 7)
+    rows = [(i // 2, f"text {i} " * (i % 9)) for i in range(700)] + [(None, "x")]
+    files = binary.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).df
+    whole = Counter((r.doc_id, r.start, len(r.ids) // 4) for r in binary.read(files).collect())
+    assert len(whole) == 701
+    wanted = spark.createDataFrame([(5,), (5,), (340,), (349,), (0,), (9_999,), (None,)], "doc_id long")
+    got = Counter(tuple(r) for r in binary.offsets(files, wanted).collect())
+    assert got == Counter({k: n for k, n in whole.items() if k[0] in (5, 340, 349, 0)}) and len(got) == 8
+
+
 def check_packing(pieces, want):
     by = {}
     for p in pieces:
@@ -274,7 +287,8 @@ def test_packing_query(spark):
 
 def test_packing_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "c"), (4, "long text " * 20_000)]
-    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit("mine")).withColumn("part", F.lit(1))
+    pieces = packing.pack(docs.coalesce(1)).collect()
     check_packing(pieces, {d: exact([t for e, t in rows if e == d], 1) for d in (1, 2, 3, None, 4)})
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -328,7 +342,7 @@ def test_vector_links(spark, cell):
     x[14] = 3 * x[9]
     ids = np.arange(len(x)) * 3 + 1
     df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dups.near_duplicates(df, cell_size=cell).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dups.near_duplicates(df, cell_size=cell, block=64).collect()}
     u = x / np.linalg.norm(x, axis=1)[:, None]
     near = u @ u.T >= 0.95
     np.fill_diagonal(near, False)
@@ -347,6 +361,60 @@ def test_vector_odd_rows(spark):
     assert vector_dups.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("made", [False, True])
+def test_vector_query_equals_sql(spark, tmp_path, made):
+    import duckdb
+
+    folder = str(tmp_path) if made else "/root/testdata/sf0.01"
+    if made:
+        rows = [(i, v.tolist()) for i, v in enumerate(vectors_(2, 200, 8))] + [(200, None), (201, [0.0] * 8), (202, [float("nan")] * 8), (203, [None, 1.0])]
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet{'/*.parquet' if made else ''}'")
+    want = con.execute(ORACLES["op2_embedding_dups"]).fetchdf().sort_values("vec_id")
+    got = QUERIES["op2_embedding_dups"](spark, folder).toPandas().sort_values("vec_id")
+    for c in ("vec_id", "n_links", "component_id", "kept"):
+        assert got[c].tolist() == want[c].tolist()
+    assert not made or (got.n_links > 1).any()
+
+
+def test_vectors_of_many_lengths(spark):
+    r = np.random.default_rng(7)
+    rows = [(100 * d + i, (r.standard_normal(d) + 10 * (i % 3 == 0)).tolist()) for d in range(2, 72) for i in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in vector_dups.near_duplicates(df, block=4).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    links = {i: {j for j in unit if i != j and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.95} for i in unit}
+    names = sorted(unit)
+    comp = labelled(len(names), [(a, b) for a, i in enumerate(names) for b, j in enumerate(names) if j in links[i]], names)
+    assert got == {i: (len(links[i]), c) for i, c in zip(names, comp)}
+    queries = sorted(i for i in unit if i % 20 == 0)
+    found = Counter(x.query_id for x in ann.search(df, F.col("vec_id") % 20 == 0).collect())
+    assert found == Counter({i: 5 for i in queries})
+
+
+def test_search_query_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    ids, x = rows.vec_id.to_numpy(), np.stack(rows.embedding.to_numpy()).astype(float)
+    got = QUERIES["op8_nearest"](spark, sf).toPandas()
+    hit = total = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = (x * x[i]).sum(axis=1)
+        mine = got[got.query_id == ids[i]].sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, 21))
+        assert np.allclose(mine.score, s[np.searchsorted(ids, mine.vec_id)], rtol=1e-12) if (np.diff(ids) > 0).all() else True
+        s[i] = -np.inf
+        hit += len(set(mine.vec_id) & set(ids[np.lexsort((ids, -s))[:20]]))
+        total += 20
+    assert total == 20 * int((ids % 20 == 0).sum()) and hit / total >= 0.9
+    assert ann.parts_for(len(ids), 20, 4_096, 8, 256) == 8  # the parts are learnt on a table of this size too
+
+
+def test_parts_follow_the_table():
+    assert [ann.parts_for(n, 20, 4_096, 8, 256) for n in (5, 319, 320, 40_000, 300_000, 10**9)] == [1, 1, 8, 16, 128, 256]
+
+
 def test_search_recall_and_scores(spark):
     x = vectors_(5, 3_000, 16)
     x[50:90] = x[7]

@@ -107,7 +107,7 @@ def powers_of_two(pieces: list[Piece]) -> Iterator[list[Piece]]:
         yield window
 
 
-def pack(documents: DataFrame, size: int = 2048, windows: int = 64, tokenizer: str = WORD_BPE, end_id: int = 1, fan: int = 1024) -> DataFrame:
+def pack(documents: DataFrame, size: int = 2048, windows: int = 64, tokenizer: str = WORD_BPE, end_id: int = 1, fan: int = 1024, keep: bool = True) -> DataFrame:
     """A row for each piece of ``documents`` (doc_id, text) in the windows: the training sequences themselves.
 
     doc_id, start (ids of its document before it), length, ids (little-endian 32-bit), doc_tokens (with ``end_id``,
@@ -117,16 +117,17 @@ def pack(documents: DataFrame, size: int = 2048, windows: int = 64, tokenizer: s
     these leave until a single task is left; only leftovers are shuffled. Sequence ids hold the partition in their
     upper bits and the round of merging below. A null or empty text is its end id alone. Repeated rows are packed
     each. Windows are of ``size`` ids but for up to log2(size) of the whole table, which hold a power of two; none
-    holds padding. ``size`` should be a power of two itself.
+    holds padding. ``size`` should be a power of two itself. With ``keep``, a worker keeps what it has learnt of words
+    for its next task, which is faster; without, it gives that memory back.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    done = common.Written(texts.mapInArrow(_packed(size, windows, tokenizer, end_id, 0, False), ROWS)).df
+    done = common.Written(texts.mapInArrow(_packed(size, windows, tokenizer, end_id, 0, False, keep), ROWS)).df
     out, turn = done.where("NOT left").select(*NAMES), 0
     while parts := done.where("left").select("part").distinct().count():
         turn, last = turn + 1, parts <= fan
         left = done.where("left").select("part", *NAMES)
         left = left.repartition(1) if last else left.repartition(-(-parts // fan), "part")
-        done = common.Written(left.sortWithinPartitions("part", "offset").drop("part").mapInArrow(_packed(size, windows, tokenizer, end_id, turn, last), ROWS)).df
+        done = common.Written(left.sortWithinPartitions("part", "offset").drop("part").mapInArrow(_packed(size, windows, tokenizer, end_id, turn, last, keep), ROWS)).df
         out = out.union(done.where("NOT left").select(*NAMES))
     return out
 
@@ -135,7 +136,7 @@ NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offse
 ROWS = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, part int, left boolean"
 
 
-def _packed(size: int, windows: int, tokenizer: str, end_id: int, turn: int, last: bool):
+def _packed(size: int, windows: int, tokenizer: str, end_id: int, turn: int, last: bool, keep: bool):
     """Packs a partition: texts in turn 0, else pieces that were left; ``last`` cuts what it leaves itself."""
     names = [*NAMES, "part", "left"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
@@ -152,8 +153,10 @@ def _packed(size: int, windows: int, tokenizer: str, end_id: int, turn: int, las
                         yield from ((w, False) for w in packer.place(piece))
                     continue
                 texts = common.text_bytes(batch.column("text"))
-                for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                    yield from ((w, False) for w in packer.add(doc, codes.encode([text])[0] + end))
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), codes.encoded(texts), strict=True):
+                    yield from ((w, False) for w in packer.add(doc, ids + end))
+            if codes:
+                codes.rest(keep)
             yield from ((w, False) for w in (packer.finish() if last else packer.merge()))
             yield from ((pieces, True) for _, _, pieces in packer.open)
 
