@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = langid.fit(docs, F.lit(True))
     own, back = common.carried(docs, OWN)
-    kept = langid.predict(own, model).where((F.col("lang_pred") != langid.UND) & (F.col("lang_score") >= LEAST_SCORE))
+    kept = langid.predict(own, model, keep=False).where((F.col("lang_pred") != langid.UND) & (F.col("lang_score") >= LEAST_SCORE))
     return back(kept.withColumn("lang", F.coalesce("lang", "lang_pred")))
 
 
@@ -36,11 +36,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of 400 bytes and more that repeat anywhere; n_chars counts what is left."""
+    """Documents without the passages of over 50 words that repeat anywhere; n_chars counts what is left.
+
+    A passage goes wherever it stands, as in the operator's query: no copy is more original than another, and near
+    copies have gone before. It is found by strings of 200 bytes that repeat, fewer than 51 words of prose take; one
+    of fewer words goes from 400 bytes on. A document that consisted of passages alone, with no word left, goes too;
+    one that had no word before stays.
+    """
     ship(spark)
     own, back = common.carried(docs, OWN)
-    left = substrings.dedup(own, as_text=True)
-    return back(left.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")))
+    left = substrings.dedup_passages(own, as_text=True)
+    emptied = (F.size("passages") > 0) & ~F.col("kept").rlike(r"\S")
+    return back(left.where(~emptied).withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +60,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training windows, piece by piece, with their token ids."""
     ship(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, keep=False)
 
 
 STAGES = [("language ID", language_id), ("SimHash near-dedup", near_dedup), ("suffix-array dedup", substring_dedup), ("mixing", mix), ("packing", pack)]
@@ -64,9 +71,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over ``documents``; what the stages before give is written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = common.cut(docs)
-    return docs
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        written = common.Written(stage(spark, docs, sf_dir))
+        if held:
+            held.drop()  # the stage after it has been written
+        docs, held = written.df, written
+    return STAGES[-1][1](spark, docs, sf_dir)
