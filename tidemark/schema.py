@@ -14,3 +14,5 @@ NODE = T.StructType([T.StructField("id", T.StringType()), T.StructField("address
 TOMBSTONE = T.StructType([T.StructField("device_id", T.StringType()), T.StructField("metric_name", T.StringType()), T.StructField("deleted_at", T.LongType())])
 #: The identity of a series; the key string is only derived from it.
 SERIES = ["device_id", "metric_name"]
+#: The identity of one arrival, the same in every copy of it: a series may get several points in a second.
+ARRIVAL = [*SERIES, "timestamp", "seq"]
