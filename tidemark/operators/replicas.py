@@ -67,8 +67,11 @@ def best_count(stats: DataFrame, quorum: int = 1) -> DataFrame:
 
 
 def merge_samples(samples: DataFrame) -> DataFrame:
-    """Samples of all nodes (priority, timestamp, value), each time once: the value of the first node by priority."""
-    return samples.groupBy(*SERIES, "timestamp").agg(F.min_by("value", "priority").alias("value"))
+    """Samples of all nodes (priority, seq, timestamp, value), each time once: the value of the first node by priority.
+
+    Of a node's values of one second the first to arrive counts.
+    """
+    return samples.groupBy(*SERIES, "timestamp").agg(F.min_by("value", F.struct("priority", "seq")).alias("value"))
 
 
 def digest(points: DataFrame) -> DataFrame:
