@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.murmur import murmur3_of
-from ..schema import SERIES
+from ..schema import ARRIVAL, SERIES
 from .table import checksum
 
 #: Places of each node on the ring, and equal stretches that the ring is cut into for lookups.
@@ -89,9 +89,8 @@ def differing(local: DataFrame, peer: DataFrame) -> DataFrame:
 
 
 def missing(local: DataFrame, peer: DataFrame) -> DataFrame:
-    """The peer's points that are missing locally."""
-    keys = [*SERIES, "timestamp"]
-    return peer.join(local.select(*keys), keys, "left_anti").select(*peer.columns)
+    """The peer's points that are missing locally, even if others of their second are there."""
+    return peer.join(local.select(*ARRIVAL), ARRIVAL, "left_anti").select(*peer.columns)
 
 
 def repair(local: DataFrame, peer: DataFrame) -> DataFrame:
