@@ -119,9 +119,9 @@ def coded_bits(points: DataFrame) -> DataFrame:
 def value_bits(points: DataFrame) -> DataFrame:
     """Of each series the bits that coding values by change takes, each day of it a block of its own.
 
-    64 for a block's first value, then 1 if equal to the last, else 66.
+    64 for a block's first value, then 1 if equal to the last, else 66. Values of one second come as they arrived.
     """
-    before = Window.partitionBy(*SERIES, F.floor(F.col("timestamp") / 86_400)).orderBy("timestamp")
+    before = Window.partitionBy(*SERIES, F.floor(F.col("timestamp") / 86_400)).orderBy("timestamp", "seq")
     cost = F.when(F.lag("value").over(before).isNull(), 64).when(F.lag("value").over(before) == F.col("value"), 1).otherwise(66)
     return points.select(*SERIES, cost.alias("bits")).groupBy(*SERIES).agg(F.sum("bits").alias("bits"))
 
