@@ -7,6 +7,7 @@ import pytest
 
 from tidemark.operators import points as P
 from tidemark.plans.catalog import ORACLES, QUERIES
+from tidemark.streaming import live
 
 from .conftest import DATA
 from .test_catalog import rows
@@ -35,3 +36,21 @@ def test_values_of_one_second_are_coded_as_they_arrived(spark):
     """The SQL of value_sizes leaves the order within a second open; here it is that of arrival, however rows lie."""
     df = spark.createDataFrame([(2, "d", "m", 20, 2.0), (1, "d", "m", 20, 1.0), (0, "d", "m", 10, 1.0)], "seq long, device_id string, metric_name string, timestamp long, value double").coalesce(1)
     assert [r.bits for r in P.value_bits(df).collect()] == [64 + 1 + 66]
+
+
+@pytest.mark.parametrize("name", ["stream_throughput", "stream_running_stats"])
+def test_batches_do_not_become_more_with_files(spark, tmp_path, monkeypatch, name):
+    seen = []
+    plain = live.incoming
+
+    def noted(spark, path, files_per_trigger=4, role=False):
+        seen.append((len(spark.read.parquet(path).inputFiles()), files_per_trigger))
+        return plain(spark, path, files_per_trigger, role)
+
+    monkeypatch.setattr(live, "incoming", noted)
+    spark.read.parquet(f"{DATA}/events.parquet").repartition(8).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES[name](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert rows(got) == rows(con.execute(ORACLES[name]).fetchdf())
+    assert all(n > 4 and -(-n // k) <= 4 for n, k in seen) and seen
