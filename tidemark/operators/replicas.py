@@ -89,8 +89,13 @@ def differing(local: DataFrame, peer: DataFrame) -> DataFrame:
 
 
 def missing(local: DataFrame, peer: DataFrame) -> DataFrame:
-    """The peer's points that are missing locally, even if others of their second are there."""
-    return peer.join(local.select(*ARRIVAL), ARRIVAL, "left_anti").select(*peer.columns)
+    """The peer's points that are missing locally, even if others of their second are there.
+
+    A field that is null in both copies of an arrival is the same in both.
+    """
+    here = local.select(*(F.col(c).alias(f"_{c}") for c in ARRIVAL))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ARRIVAL]
+    return peer.join(here, same, "left_anti").select(*peer.columns)
 
 
 def repair(local: DataFrame, peer: DataFrame) -> DataFrame:

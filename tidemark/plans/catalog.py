@@ -284,13 +284,13 @@ def replica_diff(spark, sf):
 @query(f"SELECT seq, device_id, metric_name, timestamp, value FROM {E} WHERE seq % 10 = 0")
 def replica_missing(spark, sf):
     e = E_(spark, sf)
-    return replicas.missing(e.where("seq % 10 <> 0"), e)
+    return replicas.missing(e.where("NOT seq % 10 <=> 0"), e)
 
 
 @query(f"SELECT seq, device_id, metric_name, timestamp, value FROM {E}")
 def replica_repair(spark, sf):
     e = E_(spark, sf)
-    return replicas.repair(e.where("seq % 10 <> 0"), e.where("seq % 3 = 0 OR seq % 10 = 0"))
+    return replicas.repair(e.where("NOT seq % 10 <=> 0"), e.where("seq % 3 = 0 OR seq % 10 = 0"))
 
 
 @query()
