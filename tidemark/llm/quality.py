@@ -22,6 +22,8 @@ _CLASS[[ord(c) for c in ".,;:?'\"-"]], _CLASS[ord("!")], _CLASS[ord("|")] = 5, 6
 _CLASS[[ord(c) for c in "#$%&*<>{}[]\\/=+~^_`@"]] = 8
 _CLASS[128:] = 10
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Labelled documents in a block, about: what one step of a pass holds, and where a document's rivals come from.
+BLOCK = 2_048
 
 
 def share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -113,15 +115,16 @@ class Model:
         return np.array([self.grams[h].sum() / np.sqrt(max(len(h), 1)) for h in held])
 
 
-def fit(documents: DataFrame, labels: DataFrame, usable, label: str = "quality", sample: int = 12_000, rivals: int = 12, grams: int = 1_024, l2: float = 1e-4, steps: int = 300) -> Model:
-    """Learn from at most ``sample`` labelled documents, the first in hash order of their ids.
+def fit(documents: DataFrame, labels: DataFrame, usable, label: str = "quality", sample: int | None = None, rivals: int = 12, grams: int = 1_024, l2: float = 1e-4, steps: int = 40) -> Model:
+    """Learn from all labelled documents, or with ``sample`` from the first so many in hash order of their ids.
 
     A document's features are `NAMES`, and which of ``grams`` character n-grams, those that tell the labels apart
-    best, it holds. Every sampled document is preferred, or loses, to ``rivals`` documents of the other label, dealt
-    round in hash order. Bradley-Terry weights minimize the logistic loss of feature differences over those pairs. The
-    cut is the quantile of the sample's scores at the share of documents labelled 0, so that share is judged low.
-    Features are computed by Spark; the driver receives one short row for each sampled document. With one label or
-    none, all texts score as that label (0.5 without any).
+    best, it holds. Documents are dealt into blocks of about `BLOCK`, and each is preferred, or loses, to ``rivals``
+    documents of the other label in its block, dealt round in hash order; each label weighs half. Bradley-Terry weights
+    minimize the logistic loss of feature differences over all those pairs, by L-BFGS in at most ``steps`` passes, each of
+    them a Spark job that sums the blocks' gradients. The cut is the quantile of all the documents' scores at the share of
+    documents labelled 0, so that share is judged low. The driver receives sums of fixed size. With one label or none, all
+    texts score as that label (0.5 without any).
     """
     rows = linear.labelled_texts(documents, labels, label, usable, sample)
     hits, docs = toxicity.gram_counts(rows)
@@ -137,35 +140,105 @@ def fit(documents: DataFrame, labels: DataFrame, usable, label: str = "quality",
         for batch in batches:
             texts = common.text_bytes(batch.column("text"))
             held = [h.astype("<u2").tobytes() for h in toxicity.grams_of(texts, slots)]
-            yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "x": pa.array([r.tobytes() for r in features(texts)], pa.binary()), "f": pa.array(held, pa.binary())})
-
-    got = rows.mapInArrow(encode, "y int, x binary, f binary").orderBy(F.xxhash64("x", "f"), "y").collect()  # at most `sample`
-    y = np.array([r.y for r in got])
-    x = np.array([np.frombuffer(r.x) for r in got])
-    held = [np.frombuffer(r.f, dtype="<u2") for r in got]
-    model = Model(x.mean(0), x.std(0) + 1e-6, np.zeros(wide), 0.0, slots, np.zeros(max(len(kept), 1)))
-    z = model.expanded(x)
-    sizes = np.array([len(h) for h in held])
-    at, cols = np.repeat(np.arange(len(held)), sizes), np.concatenate(held).astype(np.int64)
-    share_of = 1.0 / np.sqrt(sizes[at])
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    winner = np.r_[np.repeat(good, rivals), good[(np.arange(len(bad) * rivals) * 7919) % len(good)]]
-    loser = np.r_[bad[(np.arange(len(good) * rivals) * 7919) % len(bad)], np.repeat(bad, rivals)]
-    half = len(good) * rivals
-    pair_weight = np.r_[np.full(half, 0.5 / half), np.full(len(loser) - half, 0.5 / (len(loser) - half))]
-    w, v = model.weights, model.grams
-    for t in range(steps):  # the loss is convex and its pairs are mirrored, so there is no intercept
-        s = z @ w + np.bincount(at, weights=v[cols] * share_of, minlength=len(y))
-        e = pair_weight / (1.0 + np.exp(np.clip(s[winner] - s[loser], -35, 35)))
-        pull = np.bincount(winner, weights=e, minlength=len(y)) - np.bincount(loser, weights=e, minlength=len(y))
-        rate = 0.5 / (1 + t / 200)
-        w += rate * (z.T @ pull - l2 * w)
-        v += rate * (np.bincount(cols, weights=share_of * pull[at], minlength=len(v)) - l2 * v)
-    s = z @ w + model.gram_scores(held)
-    model.cut = float(np.quantile(s, (y == 0).mean()))
+            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "y": batch.column("y"), "x": pa.array([r.tobytes() for r in features(texts)], pa.binary()), "f": pa.array(held, pa.binary())})
+
+    blocks, copies = dealt(rows.mapInArrow(encode, "key long, y int, x binary, f binary"), docs)
+    total = int(docs.sum())
+    mean = linear.summed(blocks.df, lambda b: unpacked(b).own_x().sum(0)) / total
+    spread = np.sqrt(linear.summed(blocks.df, lambda b: ((unpacked(b).own_x() - mean) ** 2).sum(0)) / total) + 1e-6
+    model = Model(mean, spread, np.zeros(wide), 0.0, np.zeros(0, dtype=np.int32), np.zeros(max(len(kept), 1)))  # passes need no slots
+    weight = 0.5 / (docs * copies * rivals)  # of a pair of the document, a copy, that it is dealt for
+
+    def lost(at: np.ndarray) -> tuple[float, np.ndarray]:
+        w, v = at[:wide], at[wide:]
+
+        def of(block: dict) -> np.ndarray:
+            b = unpacked(block)
+            z = model.expanded(b.x)
+            s = z @ w + b.spread_over(v)
+            good, bad = np.flatnonzero(b.y == 1), np.flatnonzero(b.y == 0)
+            if not len(good) or not len(bad):
+                return np.zeros(1 + len(at))
+            winner = np.r_[np.repeat(good, rivals), good[(np.arange(len(bad) * rivals) * 7919) % len(good)]]
+            loser = np.r_[bad[(np.arange(len(good) * rivals) * 7919) % len(bad)], np.repeat(bad, rivals)]
+            each = np.repeat(weight[::-1], [len(good) * rivals, len(bad) * rivals])
+            gap = s[winner] - s[loser]
+            e = each / (1.0 + np.exp(np.clip(gap, -35, 35)))
+            pull = np.bincount(winner, weights=e, minlength=len(s)) - np.bincount(loser, weights=e, minlength=len(s))
+            return np.r_[each @ np.logaddexp(0, -gap), -(z.T @ pull), -b.gathered(pull, len(v))]
+
+        got = linear.summed(blocks.df, of)
+        return got[0] + 0.5 * l2 * float(at @ at), got[1:] + l2 * at
+
+    best = linear.minimized(lost, np.zeros(wide + len(model.grams)), steps)
+    model.weights, model.grams = best[:wide], best[wide:]
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.to_pylist():
+                b = unpacked(block)
+                s = model.expanded(b.x) @ model.weights + b.spread_over(model.grams)
+                yield pa.RecordBatch.from_pydict({"s": pa.array(s[b.own])})
+
+    model.cut = linear.quantile(blocks.df.mapInArrow(scored, "s double"), docs[0] / total)
+    blocks.drop()
+    model.slots = slots
     return model
 
 
+@dataclass
+class Block:
+    """Documents of one block: labels, whether a row is its document's first copy, features, and the grams each holds."""
+
+    y: np.ndarray
+    own: np.ndarray
+    x: np.ndarray
+    at: np.ndarray
+    cols: np.ndarray
+    share: np.ndarray
+
+    def own_x(self) -> np.ndarray:
+        return self.x[self.own]
+
+    def spread_over(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, weights=v[self.cols] * self.share, minlength=len(self.y))
+
+    def gathered(self, pull: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(self.cols, weights=self.share * pull[self.at], minlength=size)
+
+
+def unpacked(block: dict) -> Block:
+    sizes, cols = np.frombuffer(block["sizes"], dtype=np.int32), np.frombuffer(block["cols"], dtype="<u2").astype(np.int64)
+    at = np.repeat(np.arange(len(sizes)), sizes)
+    x = np.frombuffer(block["x"]).reshape(-1, len(NAMES))
+    return Block(np.frombuffer(block["y"], dtype=np.int8), np.frombuffer(block["own"], dtype=bool), x, at, cols, 1.0 / np.sqrt(sizes[at]))
+
+
+def dealt(encoded: DataFrame, docs: np.ndarray, size: int | None = None, least: int = 64) -> tuple[common.Written, np.ndarray]:
+    """Encoded documents (key, y, x, f) dealt by key into blocks of about ``size`` (`BLOCK`), and the copies of either label.
+
+    Documents of the rarer label are copied into several blocks, evenly, if a block would hold fewer than ``least`` of
+    them, so that all others meet one, however rare it is; the copies are about ``least`` rows a block at most.
+    """
+    n = max(1, round(int(docs.sum()) / (size or BLOCK)))
+    copies = np.minimum(n, np.maximum(1, -(-least * n // docs)))
+    copies[docs > docs.min()] = 1
+    times = F.when(F.col("y") == 1, int(copies[1])).otherwise(int(copies[0]))
+    step = F.when(F.col("y") == 1, int(n // copies[1])).otherwise(int(n // copies[0]))
+    spread = encoded.withColumn("copy", F.explode(F.sequence(F.lit(0), times - 1)))
+    spread = spread.withColumn("block", F.pmod(F.pmod("key", F.lit(n)) + F.col("copy") * step, F.lit(n)))
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("y", "ascending")])
+        f = table["f"].to_pylist()
+        parts = {"y": table["y"].to_numpy().astype(np.int8), "own": table["copy"].to_numpy() == 0, "sizes": np.array([len(h) // 2 for h in f], dtype=np.int32)}
+        whole = {"x": b"".join(table["x"].to_pylist()), "cols": b"".join(f)} | {k: v.tobytes() for k, v in parts.items()}
+        return pa.table({k: pa.array([whole[k]], pa.binary()) for k in ("y", "own", "x", "sizes", "cols")})
+
+    packed = spread.groupBy("block").applyInArrow(pack, "y binary, own binary, x binary, sizes binary, cols binary")
+    return common.Written(packed), copies
+
+
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """``documents`` with quality (0 to 1) and good (1 where quality >= 0.5), replacing columns so named.
 

@@ -14,6 +14,8 @@ from . import common, linear
 
 BITS = 20
 ORDERS = (3, 4, 5, 6, 7)
+#: Tasks that count grams at most, and slices in which their counts are added up.
+COUNTERS, SLICES = 96, 64
 
 
 def gram_buckets(buf: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -74,24 +76,33 @@ class Model:
 def gram_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """For each bucket the texts of class 0 and 1 of ``rows`` (y, text) that hold it, and the texts of each class.
 
-    The driver receives an array of fixed size from each of 6 tasks.
+    Each of at most `COUNTERS` tasks counts its texts in an array of fixed size; the arrays are added up slice by slice,
+    so the driver receives one array, whatever the number of texts.
     """
     size = 1 << BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits, docs = np.zeros((2, size), dtype=np.int32), np.zeros(2, dtype=np.int64)
+        hits = np.zeros((2, size), dtype=np.int32)
         for batch in batches:
             y = np.asarray(batch.column("y"))
-            docs += np.bincount(y, minlength=2)
             for row, feature in presence(common.text_bytes(batch.column("text"))):
                 for c in (0, 1):
                     hits[c] += np.bincount(feature[y[row] == c], minlength=size).astype(np.int32)
-        yield pa.RecordBatch.from_pydict({"docs": pa.array([docs.tobytes()], pa.binary()), "hits": pa.array([hits.tobytes()], pa.binary())})
+        for i, part in enumerate(np.split(hits, SLICES, axis=1)):
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "hits": pa.array([part.tobytes()], pa.binary())})
 
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x, dtype=np.int32) for x in table["hits"].to_pylist()], axis=0, dtype=np.int32)
+        return pa.table({"slice": table["slice"][:1], "hits": pa.array([total.tobytes()], pa.binary())})
+
+    form = "slice int, hits binary"
     hits, docs = np.zeros((2, size), dtype=np.int64), np.zeros(2, dtype=np.int64)
-    for part in rows.coalesce(6).mapInArrow(count, "docs binary, hits binary").toLocalIterator():
-        docs += np.frombuffer(part.docs, dtype=np.int64)
-        hits += np.frombuffer(part.hits, dtype=np.int32).reshape(2, size)
+    for r in rows.groupBy("y").count().collect():
+        docs[r["y"]] = r["count"]
+    wide = size // SLICES
+    for r in rows.coalesce(COUNTERS).mapInArrow(count, form).groupBy("slice").applyInArrow(add, form).collect():
+        hits[:, r["slice"] * wide : (r["slice"] + 1) * wide] = np.frombuffer(r["hits"], dtype=np.int32).reshape(2, wide)
     return hits, docs
 
 
