@@ -26,6 +26,14 @@ def test_quality_learns_from_every_label(spark):
     assert got <= 1  # the cut lies between the last document judged low and the next
 
 
+def test_toxicity_learns_from_every_label(spark):
+    docs, labels = many(spark)
+    all_of_them, by_default = (toxicity.fit(docs, labels, F.lit(True), **given) for given in ({"sample": MANY}, {}))
+    assert np.array_equal(by_default.slots, all_of_them.slots)
+    assert np.allclose(by_default.weights, all_of_them.weights, atol=1e-3) and np.isclose(by_default.intercept, all_of_them.intercept, atol=1e-3)
+    assert toxicity.score(docs, by_default).select("doc_id", F.col("toxic").alias("told")).join(labels, "doc_id").where("told <> toxic").count() == 0
+
+
 def test_grams_are_counted_in_every_text(spark):
     docs, labels = many(spark)
     hits, counts = toxicity.gram_counts(linear.labelled_texts(docs, labels, "toxic", F.lit(True)))

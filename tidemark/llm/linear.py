@@ -89,19 +89,25 @@ def quantile(values: DataFrame, share: float) -> float:
     return float(near[0] + (near[-1] - near[0]) * (at - low))
 
 
-def logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, dim: int, l2: float, start: float = 0.0, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and intercept of L2-regularized logistic regression on coordinates, by accelerated gradient descent."""
-    n = max(len(y), 1)
-    w, b = np.full(dim, start), 0.0
-    norms = np.bincount(rows, weights=vals * vals, minlength=len(y)) + 1.0
-    rate = 4.0 / float(norms.mean() + 2 * norms.std() + 1e-9)
-    pw, pb = w.copy(), b
-    for t in range(steps):
-        k = t / (t + 3.0)
-        lw, lb = w + k * (w - pw), b + k * (b - pb)
-        z = np.bincount(rows, weights=vals * lw[cols], minlength=len(y)) + lb
-        e = 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35))) - y
-        pw, pb = w, b
-        w = lw - rate * (np.bincount(cols, weights=vals * e[rows], minlength=dim) / n + l2 * lw)
-        b = lb - rate * e.sum() / n
-    return w, b
+def logistic(blocks: DataFrame, scale: np.ndarray, n: int, l2: float, start: float = 0.0, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Weights and intercept of L2-regularized logistic regression, by L-BFGS in at most ``steps`` passes over ``blocks``.
+
+    A block (y, sizes, cols) holds rows: their labels, how many features each has, and which; feature i has the value
+    ``scale[i]`` where it is present. ``n`` is the number of rows in all blocks.
+    """
+
+    def lost(point: np.ndarray) -> tuple[float, np.ndarray]:
+        w, b = point[:-1], point[-1]
+
+        def of(block: dict) -> np.ndarray:
+            y, sizes, cols = (np.frombuffer(block[k], dtype=t) for k, t in (("y", np.int8), ("sizes", np.int32), ("cols", "<u2")))
+            rows = np.repeat(np.arange(len(y)), sizes)
+            z = np.bincount(rows, weights=(scale * w)[cols], minlength=len(y)) + b
+            e = 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35))) - y
+            return np.r_[np.logaddexp(0, z).sum() - z @ y, scale * np.bincount(cols, weights=e[rows], minlength=len(w)), e.sum()]
+
+        got = summed(blocks, of) / n
+        return got[0] + 0.5 * l2 * float(w @ w), got[1:] + np.r_[l2 * w, 0.0]
+
+    best = minimized(lost, np.r_[np.full(len(scale), start), 0.0], steps)
+    return best[:-1], float(best[-1])

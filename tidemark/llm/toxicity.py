@@ -127,13 +127,13 @@ def grams_of(texts: list[bytes], slots: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def fit(documents: DataFrame, labels: DataFrame, usable, label: str = "toxic", sample: int = 10_000, features: int = 8_192, l2: float = 1e-4) -> Model:
-    """Learn from at most ``sample`` labelled documents, the first in hash order of their ids.
+def fit(documents: DataFrame, labels: DataFrame, usable, label: str = "toxic", sample: int | None = None, features: int = 8_192, l2: float = 1e-4) -> Model:
+    """Learn from all labelled documents, or with ``sample`` from the first so many in hash order of their ids.
 
-    The counts of a gram are the sampled documents of either class that hold it. The ``features`` grams whose
-    counts differ most (by likelihood ratio) are kept; each is scaled by its log-count ratio, and logistic
-    regression sets the weights. The driver receives fixed-size count arrays, and for each sampled document its kept
-    features: both bounded by the parameters. With one class or none the score is the smoothed share of ones.
+    The counts of a gram are the documents of either class that hold it. The ``features`` grams whose counts differ most
+    (by likelihood ratio) are kept; each is scaled by its log-count ratio, and logistic regression sets the weights, in
+    passes of Spark over the documents' kept features. The driver receives counts and sums of fixed size. With one class
+    or none the score is the smoothed share of ones.
     """
     rows = linear.labelled_texts(documents, labels, label, usable, sample)
     size = 1 << BITS
@@ -150,16 +150,14 @@ def fit(documents: DataFrame, labels: DataFrame, usable, label: str = "toxic", s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            per_row = grams_of(common.text_bytes(batch.column("text")), slots)
-            yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "f": pa.array([x.tobytes() for x in per_row], pa.binary())})
-
-    got = rows.mapInArrow(encode, "y int, f binary").collect()  # at most `sample` rows of at most `features` entries
-    y = np.array([r.y for r in got], dtype=float)
-    held = [np.frombuffer(r.f, dtype=np.int32) for r in got]
-    at = np.repeat(np.arange(len(held)), [len(x) for x in held])
-    cols = np.concatenate(held)
+            held = grams_of(common.text_bytes(batch.column("text")), slots)
+            parts = {"y": np.asarray(batch.column("y")).astype(np.int8), "sizes": np.array([len(h) for h in held], dtype=np.int32), "cols": np.concatenate([np.zeros(0, dtype=np.int32), *held]).astype("<u2")}
+            yield pa.RecordBatch.from_pydict({k: pa.array([v.tobytes()], pa.binary()) for k, v in parts.items()})
+
+    blocks = common.Written(rows.mapInArrow(encode, "y binary, sizes binary, cols binary"))
     scale = ratio[kept]
-    w, b = linear.logistic(at, cols, scale[cols], y, len(kept), l2, start=0.1)
+    w, b = linear.logistic(blocks.df, scale, int(docs.sum()), l2, start=0.1)
+    blocks.drop()
     return Model(slots, w * scale, b)
 
 
